@@ -7,9 +7,10 @@
 3. Registers are cut into bands; representatives that agree in a band share a bucket. In a bucket each is linked with the two
    hubs (the least and the greatest id): no pairs within a group are made.
 4. Candidate pairs whose likelihood, given both sizes and how many registers are larger, smaller or equal, peaks well under the
-   threshold are dropped (``SLACK`` is over five standard errors); the rest are verified on the full sets.
-5. Components of the verified links. Then members of a bucket that are not in its largest component yet are
-   compared with the members of its other components, which is what the hubs may have left open, until nothing new is linked.
+   threshold are dropped (``SLACK`` is over four standard errors); the rest are verified on the full sets.
+5. Components of the verified links. Then, in each bucket, the members that are not in its largest component are compared with all
+   members of other components, which is what the hubs may have left open. The comparison runs inside groups of two blocks of
+   bounded size (a large bucket has many blocks), each pair in the first band that it shares; groups give out members and links, never pairs.
 
 A pair at the threshold itself misses all bands with probability (1 - 0.8 ** 4) ** 32, under 1e-7.
 
@@ -30,7 +31,9 @@ from .components import components
 from .textvec import U64, grams, mix, sequence_hash, words
 
 REGISTERS, ROWS_IN_BAND, BASE = 128, 4, 1.02
-SLACK = 0.2
+SLACK = 0.15
+#: Members and shingles of one block of a bucket.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 2000, 2_000_000
 #: Shingles sketched at once, so that memory does not grow with the text.
 STEP = 8192
 
@@ -155,6 +158,84 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int
     return materialize(pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(exact, "a bigint, b bigint"), "links")
 
 
+_GROUP = "key bigint, i int, j int, id bigint, n bigint, c bigint, block int, sketch binary"
+
+
+def _open_pairs(t: pa.Table, percent: int):
+    """Pairs of rows of one group, across its two blocks, that may be links between components: the likeliest first."""
+    n, c, block = (t.column(k).to_numpy() for k in ("n", "c", "block"))
+    own = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    bands = own.view(np.uint64)
+    i, j, key = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("key")[0].as_py()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    found = []
+    seeds = np.arange(bands.shape[1], dtype=np.uint64)
+    keys = mix(mix(bands + seeds) ^ seeds)
+    band = int(np.flatnonzero((keys == np.int64(key).astype(np.uint64)).any(axis=0))[0])
+    for x in left.tolist():
+        y = right[right > x] if i == j else right
+        y = y[(c[y] != c[x]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))]
+        if not len(y):
+            continue
+        y = y[(bands[y] == bands[x]).argmax(axis=1) == band]
+        y = y[(own[y] == own[x]).sum(axis=1) * 200 >= percent * REGISTERS]
+        if len(y):
+            found.append(np.stack([np.full(len(y), x), y]))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    likely = np.zeros(pairs.shape[1])
+    for k in range(0, pairs.shape[1], 20_000):
+        x, y = pairs[:, k : k + 20_000]
+        likely[k : k + 20_000] = likely_similarity(n[x].astype(float), n[y].astype(float), (own[x] > own[y]).sum(axis=1), (own[x] < own[y]).sum(axis=1))
+    order = np.argsort(-likely, kind="stable")
+    return pairs[:, order[100 * (likely[order] + SLACK) >= percent]].T
+
+
+def _across(shared: DataFrame, label: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Verified links between members of one bucket that belong to different components."""
+    named = shared.select("key", "id", "n").join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    each = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    sums = each.groupBy("key").agg(F.max(F.struct("m", "c", "s")).alias("t"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("m"), F.sum("s").alias("s")).where("k > 1")
+
+    def blocks_for(m, s):
+        return F.ceil(F.greatest(m / BLOCK_MEMBERS, s / BLOCK_SHINGLES)).cast("int")
+
+    top = sums.select("key", F.col("t.c").alias("top"), blocks_for(F.col("m") - F.col("t.m"), F.col("s") - F.col("t.s")).alias("rest"), blocks_for(F.col("t.m"), F.col("t.s")).alias("main"))
+    mixed = named.join(top, "key")
+    outside = F.col("c") != F.col("top")
+    place = F.xxhash64("id")
+    mixed = mixed.withColumn("block", F.when(outside, F.pmod(place, "rest")).otherwise(F.col("rest") + F.pmod(place, "main")).cast("int"))
+    mixed = mixed.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(outside, F.col("rest") + F.col("main") - 1).otherwise(F.col("rest") - 1))))
+    mixed = mixed.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "id", "n", "c", "block")
+    mixed = mixed.join(classes.select("id", "sketch"), "id").select("key", "i", "j", "id", "n", "c", "block", "sketch")
+
+    def open_members(t: pa.Table) -> pa.Table:
+        return t.take(pa.array(np.unique(_open_pairs(t, percent))))
+
+    hopeful = materialize(mixed.groupBy("key", "i", "j").applyInArrow(open_members, _GROUP), "open")
+
+    def link(t: pa.Table) -> pa.Table:
+        ids, c = t.column("id").to_pylist(), t.column("c").to_pylist()
+        sets = [x for k in range(0, t.num_rows, 64) for x in shingle_sets(t.column("text").slice(k, 64).combine_chunks(), size)]
+        root = {x: x for x in c}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for x, y in _open_pairs(t, percent).tolist():
+            a, b = find(c[x]), find(c[y])
+            if a != b:
+                shared_ = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * shared_ >= percent * (len(sets[x]) + len(sets[y]) - shared_):
+                    root[a] = b
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
+
+    return materialize(hopeful.join(texts, "id").select("key", "i", "j", "id", "n", "c", "block", "sketch", "text").groupBy("key", "i", "j").applyInArrow(link, "a bigint, b bigint"), "across")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): n_shingles and component_id, the least doc_id that it can reach."""
     docs = keyed(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
@@ -170,21 +251,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = docs.select(F.col("h").alias("id"), "text").join(in_buckets, "id", "left_semi").dropDuplicates(["id"])
     links = _verified(tested, classes, texts, size, percent)
     label = components(links)
-    while True:
-        # Members outside the largest component of their bucket, against the members of its other components.
-        named = shared.select("key", "id", "n").join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        top = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("t"), F.count(F.lit(1)).alias("k"))
-        mixed = named.join(top.where("k > 1").select("key", F.col("t.c").alias("top")), "key")
-        x = mixed.where("c <> top").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-        y = mixed.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-        fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-        rest = x.join(y, "key").where(F.col("cx") != F.col("cy")).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        rest = materialize(rest.join(tested, ["a", "b"], "left_anti"), "rest")
-        more = _verified(rest, classes, texts, size, percent)
-        if more.isEmpty():
-            break
-        tested, links = tested.unionByName(rest), links.unionByName(more)
-        label = components(links)
+    links = links.unionByName(_across(shared, label, classes, texts, size, percent))
+    label = components(links)
     named = classes.select("k1", "k2", "id", "least").join(label.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "least", F.coalesce("component", "id").alias("c"))
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
     return sig.select("doc_id", "n_shingles", "k1", "k2").join(named.join(least, "c").select("k1", "k2", "component_id"), ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
