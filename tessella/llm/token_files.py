@@ -29,8 +29,8 @@ from .tokens import encoder, tokenizer_path
 
 #: Documents in one block.
 BLOCK = 256
-#: The dictionary is trained on the ids of at most this many texts (least hash first), of at most SAMPLE_CHARS each.
-SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 20_000, 32_768
+#: The dictionary is trained on the ids of the texts with this many least hashes of doc_id, of at most SAMPLE_CHARS each.
+SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 500, 20_000, 32_768
 _BLOCKS = "part int, block int, dictionary string, doc_ids array<bigint>, n_tokens array<int>, ends array<int>, payload binary"
 
 
@@ -38,7 +38,9 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int = 0) -> bytes:
     """Train on the serialized ids of a bounded sample of ``docs``; empty where there is too little to learn from."""
     import zstandard
 
-    rows = docs.select(text_of().alias("text")).where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_TEXTS).collect()
+    h = F.xxhash64("doc_id")
+    least = docs.select(h.alias("h")).distinct().orderBy("h").limit(SAMPLE_TEXTS).agg(F.max("h")).first()[0]
+    rows = docs.where(F.length("text").between(1, SAMPLE_CHARS) & (h <= F.lit(least))).select("text").orderBy("text").limit(SAMPLE_TEXTS).collect() if least is not None else []
     tail = np.array([end_id], np.uint16).tobytes()
     samples = [x + tail for x in encoder(path).encode_bytes([r.text for r in rows])]
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 10)

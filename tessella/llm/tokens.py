@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Chunks that a worker remembers before it starts anew.
-MEMO = 600_000
+#: Chunks in the younger half of a worker's memo; when it is full it becomes the older half, from which used ones come back.
+MEMO = 300_000
 _ODD_SPACE = re.compile(r"[^\S\n ]|\s\s|[\x1c-\x1f]")
 
 #: Letters that lower-casing and normalisation map one to one, then marks: two pre-tokens in either vocabulary.
@@ -43,12 +44,32 @@ class _Memo(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = ids = self.make(chunk)
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.make(chunk)
+        self[chunk] = ids
         return ids
 
+    def age(self) -> None:
+        if len(self) > MEMO:
+            self.older = dict(self)
+            self.clear()
+
+
+#: Bytes that any white space but a space or a line feed begins with, and control characters that count as such here.
+_RARE = bytes([9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def _odd(text: str) -> bool:
+    """Whether white space stands where chunks may not be encoded apart; a quick look at the bytes settles most texts."""
+    b = text.encode()
+    if len(b.translate(None, _RARE)) == len(b) and not (b"  " in b or b" \n" in b or b"\n " in b or b"\n\n" in b):
+        return False
+    return _ODD_SPACE.search(text) is not None
+
 
 class Encoder:
     """``encode(texts)`` gives one uint16 array of ids for each text."""
@@ -66,29 +87,25 @@ class Encoder:
         self.byte_level = len(self.newline) > 0  # this vocabulary keeps white space
         self.marks: dict[str, bytes] = {}
         self.memo = _Memo(self._byte_chunk if self.byte_level else self._word_chunk)
-        if not self.byte_level:
-            self.memo[""] = b""
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+        return array("H", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, np.uint16) for x in self.encode_bytes(texts)]
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """The ids as little-endian unsigned 16-bit integers."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-            if not self.byte_level:
-                self.memo[""] = b""
+        self.memo.age()
         get = self.memo.__getitem__
         if self.byte_level:  # a chunk is "\nword", or "word" for " word"
-            return [self._ids(t) if _ODD_SPACE.search(t) else b"".join(map(get, ("\n" + t).replace("\n", " \n")[1:].split(" ")))[2:] for t in texts]
+            return [self._ids(t) if _odd(t) else b"".join(map(get, ("\n" + t).replace("\n", " \n")[1:].split(" ")))[2:] for t in texts]
         return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
     def _piece(self, letters: str, marks: str) -> bytes:
         """One pre-token of letters and one of marks, each encoded by the library's model."""
-        ids = np.array([t.id for t in self.model.tokenize("".join(map(_SHOWN.__getitem__, letters.encode())))], np.uint16).tobytes() if letters else b""
+        shown = "".join(map(_SHOWN.__getitem__, letters.encode()))
+        ids = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
         if marks and (more := self.marks.get(marks)) is None:
             more = self._ids(marks)
             if len(self.marks) < 10_000:
