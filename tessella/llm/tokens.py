@@ -102,29 +102,37 @@ class Encoder:
             return [self._ids(t) if _odd(t) else b"".join(map(get, ("\n" + t).replace("\n", " \n")[1:].split(" ")))[2:] for t in texts]
         return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
-    def _piece(self, letters: str, marks: str) -> bytes:
-        """One pre-token of letters and one of marks, each encoded by the library's model."""
+    def _letters(self, letters: str) -> bytes:
+        """One pre-token of letters, encoded by the library's model."""
         shown = "".join(map(_SHOWN.__getitem__, letters.encode()))
-        ids = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        if marks and (more := self.marks.get(marks)) is None:
-            more = self._ids(marks)
+        return array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _marks(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = self._ids(marks)
             if len(self.marks) < 10_000:
-                self.marks[marks] = more
-        return ids + more if marks else ids
+                self.marks[marks] = ids
+        return ids
 
     def _byte_chunk(self, chunk: str) -> bytes:
-        lead, space = (self.newline, "") if chunk[:1] == "\n" else (b"", " ")
-        word = chunk[1:] if lead else chunk
-        m = _SIMPLE.fullmatch(word)
-        if m and m[1]:
-            return lead + self._piece(space + m[1], m[2])
-        return lead + (self._ids(space + word) if space + word else b"")
+        if chunk[:1] == "\n":
+            word, m = chunk[1:], _SIMPLE.fullmatch(chunk, 1)
+            if not word:
+                return self.newline
+            return self.newline + (self._letters(m[1]) + (self._marks(m[2]) if m[2] else b"") if m and m[1] else self._ids(word))
+        m = _SIMPLE.fullmatch(chunk)
+        if not m or not m[1]:
+            return self._ids(" " + chunk)
+        return self.memo[m[1]] + self._marks(m[2]) if m[2] else self._letters(" " + chunk)
 
     def _word_chunk(self, chunk: str) -> bytes:
         m = _SIMPLE.fullmatch(chunk)
-        if m and m[1]:  # the last byte of a pre-token carries the end of the word
-            return self._piece(m[1].lower(), m[2])
-        return self._ids(chunk)
+        if not m or not m[1]:
+            return self._ids(chunk)
+        word = m[1].lower()  # the last byte of a pre-token carries the end of the word
+        ids = self.memo[word] if m[2] or word != chunk else self._letters(word)
+        return ids + self._marks(m[2]) if m[2] else ids
 
 
 @lru_cache(maxsize=4)
