@@ -94,8 +94,11 @@ def write_ids(docs: DataFrame, out: str, path: str, end_id: int = 0) -> None:
     ordered.mapInArrow(pack, _BLOCKS).write.parquet(f"{out}/blocks")
 
 
-def read_ids(spark: SparkSession, out: str) -> DataFrame:
-    """Read a file set: doc_id, start (ids of all documents before), n_tokens, ids (little-endian unsigned 16-bit)."""
+def read_ids(spark: SparkSession, out: str, checksum: bool = False) -> DataFrame:
+    """Read a file set: doc_id, start (ids of all documents before), n_tokens, ids (little-endian unsigned 16-bit).
+
+    With ``checksum``, ids_crc32 stands for ids: the crc32 of the ids as little-endian unsigned 32-bit integers.
+    """
     meta = spark.read.parquet(f"{out}/meta").first()
     dictionary, digest = bytes(meta.dictionary), meta.sha256
     if hashlib.sha256(dictionary).hexdigest() != digest:
@@ -121,9 +124,11 @@ def read_ids(spark: SparkSession, out: str) -> DataFrame:
                 n = np.array(r["n_tokens"], np.int64)
                 if [len(x) // 2 for x in ids] != r["n_tokens"]:
                     raise ValueError("a block's index doesn't match its frames")
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(at + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                last = pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in ids], pa.int64()) if checksum else pa.array(ids, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(at + np.cumsum(n) - n), pa.array(n), last], names=["doc_id", "start", "n_tokens", kind.split()[0]])
 
-    return stored.join(starts, ["part", "block"]).mapInArrow(unpack, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    kind = "ids_crc32 bigint" if checksum else "ids binary"
+    return stored.join(starts, ["part", "block"]).mapInArrow(unpack, f"doc_id bigint, start bigint, n_tokens bigint, {kind}")
 
 
 def read_document(spark: SparkSession, out: str, doc_id: int) -> list[int] | None:
@@ -140,10 +145,4 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents as token-ID files, read them back, and give each document's place and checksum."""
     out = scratch(spark, "ids")
     write_ids(table(spark, sf_dir, "documents"), out, tokenizer_path("byte_bpe_50k.json"))
-
-    def digest(batches):
-        for batch in batches:
-            crc = [zlib.crc32(np.frombuffer(x, np.uint16).astype("<u4").tobytes()) for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_ids(spark, out).mapInArrow(digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return read_ids(spark, out, checksum=True)

@@ -23,11 +23,11 @@ _ODD_SPACE = re.compile(r"[^\S\n ]|\s\s|[\x1c-\x1f]")
 _SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017E]*)([!-&(-/:-@\[-`{-~]*)")
 
 
-def _shown_bytes() -> list[str]:
+def _shown_bytes() -> dict[int, str]:
     """Byte-level vocabularies write each byte as a printable character: itself, or the next unused one from U+0100."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+    return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
 
 
 _SHOWN = _shown_bytes()
@@ -104,7 +104,9 @@ class Encoder:
 
     def _letters(self, letters: str) -> bytes:
         """One pre-token of letters, encoded by the library's model."""
-        shown = "".join(map(_SHOWN.__getitem__, letters.encode()))
+        return self._shown(letters.encode().decode("latin-1").translate(_SHOWN))
+
+    def _shown(self, shown: str) -> bytes:
         return array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _marks(self, marks: str) -> bytes:
@@ -116,6 +118,8 @@ class Encoder:
         return ids
 
     def _byte_chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self._shown(_SHOWN[32] + chunk)
         if chunk[:1] == "\n":
             word, m = chunk[1:], _SIMPLE.fullmatch(chunk, 1)
             if not word:
@@ -127,6 +131,8 @@ class Encoder:
         return self.memo[m[1]] + self._marks(m[2]) if m[2] else self._letters(" " + chunk)
 
     def _word_chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha() and chunk.islower():
+            return self._shown(chunk)
         m = _SIMPLE.fullmatch(chunk)
         if not m or not m[1]:
             return self._ids(chunk)
