@@ -7,7 +7,7 @@ the text. Other tokens have a single path and stay as they are.
 
 Scoring: features are the distinct words of the restored text and their first bytes (4 to 8), hashed. On labelled rows the documents with
 each feature are counted by label; the ``FEATURES`` with the largest excess in toxic texts are kept, and a logistic scorer is trained on them
-with the ``TRAIN`` labelled texts of least hash, toxic ones weighing ``RARE`` times as much. The counts, the character model and the scores cover all rows.
+with the ``TRAIN`` labelled texts whose doc_id has the least hash, toxic ones weighing ``RARE`` times as much. The counts, the character model and the scores cover all rows.
 
 Only the text is an input. Rows with crc32(doc_id) mod 5 = 0 are never learnt from. Null and empty texts score by the
 bias alone. Repeated rows are scored each. Without labelled rows all scores are the bias, 0.5.
@@ -141,7 +141,7 @@ def _restored(texts: pa.Array, restore: Restorer) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Character model, the kept buckets (ascending), and their weights with the bias last."""
     model = character_model(docs)
-    learn = with_labels(docs, labels, "toxic", "inner").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("text", "_label")
+    learn = with_labels(docs, labels, "toxic", "inner").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("text", "_label", F.xxhash64("doc_id").alias("_h"))
 
     def count(batches, total):
         restore, parts = Restorer(model), total[: 2 * BUCKETS + 2]
@@ -174,8 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
 
     if not len(kept):
         return model, kept, np.array([np.log(share / (1 - share))])
-    chosen = learn.select("text", "_label", F.xxhash64("text").alias("_h")).orderBy("_h", "_label").limit(TRAIN)
-    rows = chosen.select("text", F.col("_label").alias("label")).mapInArrow(look, "label int, at binary").collect()
+    # the hashes of the sample first, without texts, so that no task gathers more than a bounded number of rows
+    last = learn.select("_h").distinct().orderBy("_h").limit(TRAIN).agg(F.max("_h")).first()[0]
+    rows = learn.where(F.col("_h") <= F.lit(last)).select("text", F.col("_label").alias("label")).mapInArrow(look, "label int, at binary").collect()
     rows.sort(key=lambda r: (bytes(r["at"]), r.label))
     at = np.concatenate([np.frombuffer(bytes(r["at"]), np.int32) for r in rows])
     doc = np.repeat(np.arange(len(rows)), [len(r["at"]) // 4 for r in rows])
