@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, keyed, table, text_of
+from .common import blocks, keyed, materialize, table, text_of
 from .textvec import U64, Words, mix, words
 from .vectors import sum_vectors, with_labels
 
@@ -58,8 +58,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Hashes of the most frequent words (the least hash first on a tie), ascending."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
+    """Hashes of the most frequent words (the least hash first on a tie), ascending.
+
+    The count at the cut is found from how many words have each count, so that only words at or above it are sorted; those
+    at the cut itself are cut by hash, again by a bound found from coarse ranges of the hash.
+    """
+    counts = materialize(word_counts(docs), "words")
+    held, cut = 0, 1
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(size + 1).toLocalIterator():
+        cut = r.n
+        if held + r.k >= size:
+            break
+        held += r.k
+    left = size - held
+    parts = sorted((r.b, r.k) for r in counts.where(F.col("n") == cut).groupBy(F.shiftright("word", 52).alias("b")).agg(F.count(F.lit(1)).alias("k")).collect())
+    bound = None
+    for b, k in parts:
+        bound, left = b, left - k
+        if left <= 0:
+            break
+    near = (F.col("n") > cut) | ((F.col("n") == cut) & (F.shiftright("word", 52) <= F.lit(bound)))
+    top = counts.where(near).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
     return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
