@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, keyed, materialize, table, text_of
+from .common import blocks, free_name, keyed, materialize, table, text_of
 from .textvec import words
 
 SIZE = 10
@@ -175,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text has no hit; nothing is shuffled."""
-    names, schema = docs.columns, docs.schema
+    names, schema, own = docs.columns, docs.schema, free_name(docs, "_text")
     for windows, _ in _item_blocks(benchmark, size, block_chars):
         windows.order_by_rarity(_count_words(docs.select(text_of().alias("text")), windows.vocabulary) if len(windows.vocabulary) else {})
         if not len(windows.keys):
@@ -183,14 +183,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, b
 
         def clean(batches, windows=windows):
             near = _near(windows.keys)
-            for batch, texts in blocks(batches, "_text"):
+            for batch, texts in blocks(batches, own):
                 w = words(texts, "alnum")
                 begin, _ = _find(w, windows, near)
                 good = np.ones(len(texts), bool)
                 good[w.doc[begin]] = False
                 yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(good))
 
-        docs = docs.select(text_of().alias("_text"), *docs.columns).mapInArrow(clean, schema)
+        docs = docs.select(text_of().alias(own), "*").mapInArrow(clean, schema)
     return docs
 
 

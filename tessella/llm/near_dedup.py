@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, keyed, materialize, table, text_of
+from .common import blocks, free_name, keyed, materialize, table, text_of
 from .components import components
 from .textvec import U64, grams, mix, sequence_hash, words
 
@@ -260,9 +260,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are the first of their component; rows repeating a doc_id become one."""
+    key = free_name(docs, "_id")
     found = near_duplicates(docs, size, percent).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
-    found = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("c"))).select(F.col("doc_id").alias("_id"), "n"), "firsts")
-    left = docs.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
+    found = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("c"))).select(F.col("doc_id").alias(key), "n"), "firsts")
+    left = docs.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)), "left_semi")
     return left.dropDuplicates(["doc_id"]) if found.where("n > 1").limit(1).count() else left
 
 

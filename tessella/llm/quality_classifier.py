@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, keyed, table, text_of
+from .common import blocks, free_name, keyed, table, text_of
 from .textvec import U64, Words, mix, words
 from .vectors import sum_vectors
 
@@ -229,14 +229,14 @@ def _scores(texts: pa.Array, share: float, p: np.ndarray, weights: np.ndarray) -
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score is under 0.5; nothing is shuffled."""
     share, p, weights = fit(docs.select(text_of().alias("text")))
-    names = docs.columns
+    names, own = docs.columns, free_name(docs, "_text")
 
     def run(batches):
-        for batch, texts in blocks(batches, "_text"):
+        for batch, texts in blocks(batches, own):
             _, z = _scores(texts, share, p, weights)
             yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(z < 0.5))
 
-    return docs.select(text_of().alias("_text"), *docs.columns).mapInArrow(run, docs.schema)
+    return docs.select(text_of().alias(own), "*").mapInArrow(run, docs.schema)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, table, text_of
+from .common import free_name, keyed, materialize, table, text_of
 
 # The kinds in their order, their patterns, the group that is the value, and its least length.
 KINDS = (
@@ -106,12 +106,13 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", m
     Only texts that may hold a secret are joined with their spans (by doc_id); the others pass as they are.
     Rows that share a doc_id are redacted at the spans of all of them.
     """
+    key, own = free_name(docs, "_id"), free_name(docs, "_spans")
     may = F.lit(False)
     for pattern in (*(k[1] for k in KINDS), TOKEN):
         may = may | F.regexp_like(text_of(), F.lit(pattern))
     found = secret_spans(docs.where(may), owner, repository).select("doc_id", F.filter("spans", lambda s: s["verdict"] != "example").alias("spans"))
-    found = found.where(F.size("spans") > 0).groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("_spans"))
-    hold = docs.where(may).join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left")
+    found = found.where(F.size("spans") > 0).groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias(own))
+    hold = docs.where(may).join(found.withColumnRenamed("doc_id", key), F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)), "left")
     # each step appends what lies before the next span, unless that begins inside the last one
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -123,7 +124,7 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", m
     def finish(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
 
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", begin, step, finish))
+    text = F.when(F.col(own).isNull(), F.col("text")).otherwise(F.aggregate(own, begin, step, finish))
     cols = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     done = hold.select(*cols)
     if "n_chars" in docs.columns:
