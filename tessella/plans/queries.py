@@ -474,10 +474,10 @@ def timing_stats(spark, sf_dir):
 _STAMPS = "SELECT event_id, user_id, epoch_us(ts) AS utime FROM events"
 
 
-@query(f"SELECT event_id, utime - lag(utime) OVER w AS delta, utime - first_value(utime) OVER w AS total FROM ({_STAMPS}) WINDOW w AS (PARTITION BY user_id ORDER BY utime, event_id)")
+@query(f"SELECT event_id, coalesce(utime - lag(utime) OVER w, 0) AS delta, utime - first_value(utime) OVER w AS total FROM ({_STAMPS}) WINDOW w AS (PARTITION BY user_id ORDER BY utime, event_id)")
 def stage_deltas(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("utime"))
-    return compare.stage_deltas(e, "user_id", ["utime", "event_id"], "utime").select("event_id", "delta", "total")
+    return compare.stage_deltas(e, "user_id", ["utime", "event_id"], "utime").select("event_id", F.coalesce("delta", F.lit(0)).alias("delta"), "total")
 
 
 @query(f"SELECT user_id, max(utime) - min(utime) AS total FROM ({_STAMPS}) GROUP BY user_id")
@@ -495,10 +495,10 @@ def memory_high_water(spark, sf_dir):
 _HALF = "SELECT p_size AS id, p_partkey AS k, p_retailprice AS v, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS pos FROM part WHERE p_partkey % 2 = "
 
 
-@query(f"SELECT id, pos, a.k AS a_k, b.k AS b_k, a.v AS a_v, b.v AS b_v, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' ELSE 'both' END AS status FROM ({_HALF}0) a FULL JOIN ({_HALF}1) b USING (id, pos)")
+@query(f"SELECT id, pos, coalesce(a.k, -1) AS a_k, coalesce(b.k, -1) AS b_k, coalesce(a.v, -1) AS a_v, coalesce(b.v, -1) AS b_v, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' ELSE 'both' END AS status FROM ({_HALF}0) a FULL JOIN ({_HALF}1) b USING (id, pos)")
 def compare_runs(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_size").alias("id"), F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"))
-    return compare.pair_by_id(p.where("k % 2 = 0"), p.where("k % 2 = 1"), "id", ["k"], ["k", "v"]).withColumn("pos", F.col("pos").cast("bigint"))
+    return compare.pair_by_id(p.where("k % 2 = 0"), p.where("k % 2 = 1"), "id", ["k"], ["k", "v"]).withColumn("pos", F.col("pos").cast("bigint")).na.fill(-1, ["a_k", "b_k", "a_v", "b_v"])
 
 
 @query("SELECT p_size AS v, 'a' AS side FROM (SELECT p_size FROM part WHERE p_partkey % 2 = 0 EXCEPT ALL SELECT p_size FROM part WHERE p_partkey % 2 = 1) UNION ALL SELECT p_size, 'b' FROM (SELECT p_size FROM part WHERE p_partkey % 2 = 1 EXCEPT ALL SELECT p_size FROM part WHERE p_partkey % 2 = 0)")
