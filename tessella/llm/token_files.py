@@ -40,7 +40,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int = 0) -> bytes:
 
     h = F.xxhash64("doc_id")
     least = docs.select(h.alias("h")).distinct().orderBy("h").limit(SAMPLE_TEXTS).agg(F.max("h")).first()[0]
-    rows = docs.where(F.length("text").between(1, SAMPLE_CHARS) & (h <= F.lit(least))).select("text").orderBy("text").limit(SAMPLE_TEXTS).collect() if least is not None else []
+    rows = docs.where((h <= F.lit(least)) & F.length("text").between(1, SAMPLE_CHARS)).select("text").orderBy("text").limit(SAMPLE_TEXTS).collect() if least is not None else []
     tail = np.array([end_id], np.uint16).tobytes()
     samples = [x + tail for x in encoder(path).encode_bytes([r.text for r in rows])]
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 10)
