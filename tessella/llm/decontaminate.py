@@ -13,7 +13,6 @@ Null or empty texts have no words and are clean. Repeated rows are judged each.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,44 +25,56 @@ from .textvec import words
 
 SIZE = 10
 #: Most characters of benchmark text in one block.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 _FILTER = 1 << 20
+#: Occurrences of prefixes that are tried at once, about.
+TRIED = 1 << 20
 
 
 class Windows:
-    """The distinct windows of a block of items, keyed by their words."""
+    """The distinct windows of a block of items, as places in the block's words: a few arrays, without an object for each window."""
 
     def __init__(self, items: list[tuple[str, str]], size: int):
-        found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        hashes: dict[bytes, int] = {}
-        w = words(pa.array([t for _, t in items], pa.large_string()), "alnum")
-        for i, (item, _) in enumerate(items):
-            a, b = int(w.bounds[i]), int(w.bounds[i + 1])
-            own = [w.word(k) for k in range(a, b)]
-            hashes.update(zip(own, w.hashes[a:b].tolist()))
-            for k in range(max(1, len(own) - size + 1) if own else 0):
-                found[tuple(own[k : k + size])].add(item)
-        self.words = list(found)
-        self.items = [sorted(x) for x in found.values()]
-        self.hashes = [np.array([hashes[x] for x in ws], np.uint64) for ws in self.words]
-        self.vocabulary = np.unique(np.array(list(hashes.values()), np.uint64))
-
-    def order_by_rarity(self, count: dict[int, int]) -> None:
+        self.text = w = words(pa.array([t for _, t in items], pa.large_string()), "alnum")
+        self.names = [item for item, _ in items]
+        ids: dict[bytes, int] = {}
+        number = np.array([ids.setdefault(w.word(k), len(ids)) for k in range(len(w.hashes))], np.int32)
+        n = np.diff(w.bounds)
+        times = np.where(n > 0, np.maximum(1, n - size + 1), 0)
+        first = np.repeat(w.bounds[:-1], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        length = np.minimum(np.repeat(n, times), size)
+        item = np.repeat(np.arange(len(items)), times)
+        self.widest = int(length.max(initial=0))
+        key = np.full((len(first), self.widest), -1, np.int32)
+        for p in range(self.widest):
+            inside = p < length
+            key[inside, p] = number[first[inside] + p]
+        _, at, same = np.unique(key, axis=0, return_index=True, return_inverse=True) if len(first) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.first, self.length = first[at], length[at]
+        own = np.unique(same.ravel() * max(1, len(items)) + item)  # window and item, each pair once
+        self.item = own % max(1, len(items))
+        self.item_cut = np.searchsorted(own // max(1, len(items)), np.arange(len(at) + 1))
+        self.vocabulary = np.unique(w.hashes)
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.item[self.item_cut[window] : self.item_cut[window + 1]]]
+
+    def order_by_rarity(self, count: np.ndarray) -> None:
         """Choose each window's prefix: its rarest word (the least hash on a tie), at its first place there."""
-        prefix: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, h in enumerate(self.hashes):
-            at = min(range(len(h)), key=lambda j: (count.get(int(h[j]), 0), int(h[j]), j))
-            prefix[int(h[at])].append((k, at))
-        self.keys = np.array(sorted(prefix), np.uint64)
-        own = [prefix[int(k)] for k in self.keys]
-        self.first = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int64)
-        self.window = np.array([k for x in own for k, _ in x], np.int64)
-        self.place = np.array([p for x in own for _, p in x], np.int64)
-        self.length = np.array([len(h) for h in self.hashes], np.int64)
-        self.widest = int(self.length.max(initial=0))
-        self.table = np.zeros((len(self.hashes), self.widest), np.uint64)
-        for k, h in enumerate(self.hashes):
-            self.table[k, : len(h)] = h
+        rarest = np.full(len(self.first), np.iinfo(np.int64).max)
+        prefix = np.full(len(self.first), np.iinfo(np.uint64).max, np.uint64)
+        place = np.zeros(len(self.first), np.int64)
+        for p in range(self.widest):
+            at = np.flatnonzero(p < self.length)
+            h = self.text.hashes[self.first[at] + p]
+            c = count[np.searchsorted(self.vocabulary, h)]
+            better = (c < rarest[at]) | ((c == rarest[at]) & (h < prefix[at]))
+            at = at[better]
+            rarest[at], prefix[at], place[at] = c[better], h[better], p
+        self.window = np.argsort(prefix, kind="stable")
+        self.place = place[self.window]
+        self.keys, cut = np.unique(prefix[self.window], return_index=True)
+        self.cut = np.append(cut, len(self.window))
 
 
 def _member(hashes: np.ndarray, keys: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +94,17 @@ def _near(keys: np.ndarray) -> np.ndarray:
 def _find(w, windows: Windows, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First word and window of each verified occurrence in a block of texts."""
     at, k = _member(w.hashes, windows.keys, near)
-    times = windows.first[k + 1] - windows.first[k]
-    j = np.repeat(windows.first[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    times = windows.cut[k + 1] - windows.cut[k]
+    parts = np.unique(np.searchsorted(np.cumsum(times), np.arange(0, times.sum() + TRIED, TRIED)))
+    cuts = np.unique(np.concatenate(([0], parts, [len(at)])))
+    found = [_verify(w, windows, at[a:b], k[a:b], times[a:b]) for a, b in zip(cuts, cuts[1:])]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _verify(w, windows: Windows, at: np.ndarray, k: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    j = np.repeat(windows.cut[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     begin, window = np.repeat(at, times) - windows.place[j], windows.window[j]
     doc = np.repeat(w.doc[at], times)
     length = windows.length[window]
@@ -93,14 +113,16 @@ def _find(w, windows: Windows, near: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for p in range(windows.widest):
         inside = p < length
         same = ~inside
-        same[inside] = w.hashes[begin[inside] + p] == windows.table[window[inside], p]
+        same[inside] = w.hashes[begin[inside] + p] == windows.text.hashes[windows.first[window[inside]] + p]
         begin, window, length = begin[same], window[same], length[same]
-    exact = np.array([windows.words[x] == tuple(w.word(b + i) for i in range(n)) for b, x, n in zip(begin.tolist(), window.tolist(), length.tolist())], bool)
+    exact = np.array([all(w.word(b + i) == windows.text.word(f + i) for i in range(n)) for b, f, n in zip(begin.tolist(), windows.first[window].tolist(), length.tolist())], bool)
     return begin[exact], window[exact]
 
 
-def _count_words(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
+def _count_words(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """How often each word of the vocabulary occurs in the corpus."""
+    if not len(vocabulary):
+        return np.zeros(0, np.int64)
     near = _near(vocabulary)
 
     def count(batches):
@@ -112,7 +134,10 @@ def _count_words(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
 
     sums = docs.mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    return {int(vocabulary[r.k]): r.n for r in sums}
+    out = np.zeros(len(vocabulary), np.int64)
+    for r in sums:
+        out[r.k] = r.n
+    return out
 
 
 _HITS = "_row bigint, doc_id bigint, n_words bigint, spans array<bigint>, items array<string>"
@@ -129,8 +154,8 @@ def _hits(docs: DataFrame, windows: Windows) -> DataFrame:
             items: list[set[str]] = [set() for _ in range(len(texts))]
             for b, x in zip(begin.tolist(), window.tolist()):
                 d = int(w.doc[b])
-                spans[d] += [b - int(w.bounds[d]), b - int(w.bounds[d]) + len(windows.words[x])]
-                items[d].update(windows.items[x])
+                spans[d] += [b - int(w.bounds[d]), b - int(w.bounds[d]) + int(windows.length[x])]
+                items[d].update(windows.items(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(w.bounds)), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["_row", "doc_id", "n_words", "spans", "items"])
 
     return docs.mapInArrow(hits, _HITS)
@@ -151,7 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block
     for windows, n_blocks in _item_blocks(benchmark, size, block_chars):
         if found is None and n_blocks > 1:  # only then do rows need a name; written, so that it stays the same in every pass
             docs = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        windows.order_by_rarity(_count_words(docs, windows.vocabulary) if len(windows.vocabulary) else {})
+        windows.order_by_rarity(_count_words(docs, windows.vocabulary))
         hits = _hits(docs, windows)
         found = hits if found is None else found.unionByName(hits)
     if n_blocks > 1:
@@ -177,7 +202,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, b
     """The rows of ``docs``, with all their columns, whose text has no hit; nothing is shuffled."""
     names, schema, own = docs.columns, docs.schema, free_name(docs, "_text")
     for windows, _ in _item_blocks(benchmark, size, block_chars):
-        windows.order_by_rarity(_count_words(docs.select(text_of().alias("text")), windows.vocabulary) if len(windows.vocabulary) else {})
+        windows.order_by_rarity(_count_words(docs.select(text_of().alias("text")), windows.vocabulary))
         if not len(windows.keys):
             continue
 
