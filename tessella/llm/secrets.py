@@ -31,14 +31,26 @@ KINDS = (
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 #: Owners from which on a value is a copied example; distinct characters that a random-looking value has at least.
 WIDE, DISTINCT = 2, 10
+#: Matches of one text whose places are found together.
+CHUNK = 256
 
 
-def _matches(text: Column, kind: str, pattern: str, group: int, least: int, rank: int) -> Column:
-    """array<struct<start, rank, end, kind, value>>; only texts that match pay for the positions."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    rows = F.arrays_zip(found.alias("f"), F.slice(between, 1, F.size(found)).alias("b"), values.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>").alias("out"))
+def _none() -> Column:
+    return F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
+
+
+def _chunks(rows: Column) -> Column:
+    """The array cut into arrays of at most ``CHUNK``; one empty array if there is nothing."""
+    last = F.greatest(F.floor((F.size(rows) + (CHUNK - 1)) / CHUNK).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(1), last), lambda k: F.slice(rows, (k - 1) * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _placed(rows: Column, kind: str, rank: int) -> Column:
+    """Spans of the matches. Lengths are added up by chunks first, so that no array grows by copies of more than a chunk."""
+
+    def add(acc: Column, chunk: Column) -> Column:
+        width = F.aggregate(chunk, F.lit(0), lambda n, x: n + F.length(x["b"]) + F.length(x["f"]))
+        return F.struct((acc["at"] + width).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["b"])
@@ -46,8 +58,21 @@ def _matches(text: Column, kind: str, pattern: str, group: int, least: int, rank
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    spans = F.filter(F.aggregate(rows, start, step)["out"], lambda s: F.length(s["value"]) >= least)
-    return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(start["out"])
+    def place(chunk: Column, head: Column) -> Column:
+        return F.aggregate(chunk, F.struct(head.alias("at"), _none().alias("out")), step)["out"]
+
+    heads = F.aggregate(_chunks(rows), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), add)["out"]
+    return F.flatten(F.zip_with(_chunks(rows), heads, place))
+
+
+def _matches(text: Column, kind: str, pattern: str, group: int, least: int, rank: int) -> Column:
+    """array<struct<start, rank, end, kind, value>>; only texts that match pay for the positions."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    rows = F.arrays_zip(found.alias("f"), F.slice(between, 1, F.size(found)).alias("b"), values.alias("v"))
+    # the rows as the only item of an array, so that the nested functions share one evaluation of the patterns
+    spans = F.flatten(F.transform(F.array(rows), lambda r: _placed(r, kind, rank)))
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.filter(spans, lambda s: F.length(s["value"]) >= least)).otherwise(_none())
 
 
 def _random_looking(value: Column) -> Column:
@@ -55,6 +80,17 @@ def _random_looking(value: Column) -> Column:
     return mixed & (F.size(F.array_distinct(F.split(value, ""))) >= DISTINCT)
 
 
+def _touch(b: Column, first: Column, last: Column) -> Column:
+    return (b["start"] < last["end"]) & (first["start"] < b["end"])
+
+
+def _untouched(tokens: Column) -> Column:
+    """Of a chunk of tokens in order, those that touch no base span; each is compared with the spans near the chunk only."""
+    near = F.filter("base", lambda b: _touch(b, F.get(tokens, F.lit(0)), F.element_at(tokens, -1)))
+    free = F.transform(F.array(near), lambda n: F.filter(tokens, lambda t: ~F.exists(n, lambda b: _touch(b, t, t))))
+    return F.when(F.size(tokens) > 0, F.flatten(free)).otherwise(_none())
+
+
 def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """_row, doc_id, owner, repository and spans: base matches, and random-looking tokens that touch none of them."""
     own = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((owner, "owner"), (repository, "repository"))]
@@ -62,7 +98,8 @@ def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id
     base = F.concat(*[_matches(F.col("_text"), *k, rank) for rank, k in enumerate(KINDS)])
     tokens = _matches(F.col("_text"), "owned", TOKEN, 0, 20, len(KINDS))
     scan = scan.select("_row", "doc_id", "owner", "repository", base.alias("base"), tokens.alias("tokens"))
-    free = F.filter("tokens", lambda t: _random_looking(t["value"]) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    likely = F.array(F.filter("tokens", lambda t: _random_looking(t["value"])))  # one item, evaluated once
+    free = F.flatten(F.transform(likely, lambda t: F.flatten(F.transform(_chunks(t), _untouched))))
     return scan.select("_row", "doc_id", "owner", "repository", F.concat("base", free).alias("spans"))
 
 

@@ -120,6 +120,20 @@ def test_op1(spark):
     assert key(got) == key(want)
 
 
+def test_spans_of_many_matches(spark):
+    """More matches than one chunk holds are where the patterns find them."""
+    r = np.random.default_rng(4)
+    some = lambda letters, a, b: "".join(r.choice(list(letters), int(r.integers(a, b))))
+    makes = (lambda: some("0123456789abcdef", 10, 40), lambda: "token=" + some("ABCdef0123+/_.=-", 8, 30), lambda: "AKIA" + some("ABCD0123", 8, 30), lambda: some("ABCXYZdefghi0123456789", 15, 40), lambda: "é 日本 secret: ")
+    rows = [(i, " ".join(makes[int(k)]() for k in r.integers(0, 5, n)), "s") for i, n in enumerate((0, 1, 40, 256, 257, 1500))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {x.doc_id: [(s.kind, s.start, s.end, s.value) for s in x.spans] for x in secrets.candidates(d).collect()}
+    for i, t, _ in rows:
+        base = [(kind, m.start(), m.end(), m[g]) for kind, p, g, least in secrets.KINDS for m in re.finditer(p, t) if len(m[g]) >= least]
+        random = [m for m in re.finditer(secrets.TOKEN, t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and len(set(m[0])) >= secrets.DISTINCT]
+        assert got[i] == base + [("owned", m.start(), m.end(), m[0]) for m in random if not any(b[1] < m.end() and m.start() < b[2] for b in base)]
+
+
 def test_ownership(spark):
     live, wide = "Zk3Jq9Xw7Lm2Pv5Rt8Ny", "Ab1Cd2Ef3Gh4Ij5Kl6Mn"
     rows = [(1, f"see {live} here", "a"), (2, f"é token = {wide}", "a"), (3, f"token={wide}", "b"), (4, "token=secret: abcdefghijklmnop", "b")]
@@ -353,6 +367,29 @@ def test_op10(spark, docs, odd, limit):
         assert clean == sorted(a for a, _, h, _, _ in want if h == 0)
 
 
+@pytest.mark.parametrize("tried", [1, 7, 1 << 20])
+def test_op10_few_words(spark, monkeypatch, tried):
+    """Texts and items of two or three words, so that every window occurs often; prefixes are tried in small steps."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(decontaminate, "TRIED", tried)
+    r = np.random.default_rng(2)
+    make = lambda n: " ".join(f"w{k}" for k in r.integers(0, 3, int(r.integers(0, n))))
+    for _ in range(10):
+        bench = [(str(i), make(25)) for i in range(int(r.integers(0, 12)))]
+        own = [(i, make(60)) for i in range(10)] + [(100 + i, f"x {t} y") for i, (_, t) in enumerate(bench)]
+        windows = decontaminate.Windows(bench, 10)
+        windows.order_by_rarity(r.integers(0, 5, len(windows.vocabulary)))
+        w = words(pa.array([t for _, t in own]), "alnum")
+        begin, window = decontaminate._find(w, windows, decontaminate._near(windows.keys)) if len(windows.keys) else ([], [])
+        hit, found = [set() for _ in own], [set() for _ in own]
+        for b, x in zip(begin, window):
+            hit[w.doc[b]] |= set(range(int(b), int(b + windows.length[x])))
+            found[w.doc[b]].update(windows.items(x))
+        want = brute.contaminated(own, bench)
+        assert [(len(h), hashlib.sha256(",".join(sorted(f)).encode()).hexdigest()) for h, f in zip(hit, found)] == [(x[2], x[4]) for x in want]
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from tessella.llm.common import materialize, table
