@@ -1,13 +1,14 @@
 """Cross-entropy difference of matched n-gram models.
 
-The shared vocabulary is the ``VOCABULARY`` most frequent words of the whole corpus, all others are one unknown word. Over it, a target model
-(trusted texts) and a background model (all texts) of the same order and smoothing are counted: unigrams, and word
-pairs hashed to ``PAIRS`` buckets. A token's loss is -log p(word | word before), where the pair count is
-smoothed by ``WEIGHT`` unigram observations; the first word's context is the start of the text. A text's score is the mean over its tokens of target loss
-minus background loss: the lower, the more it looks like the target.
+Over all words of the corpus, a target model (trusted texts) and a background model (all texts) of the same order and smoothing are counted:
+unigrams, and pairs of a word and the one before it. A token's loss is -log p(word | word before), where the pair count is smoothed by
+``WEIGHT`` unigram observations (unigrams have one added to each count); the first word's context is the start of the text. A text's score
+is the mean over its tokens of target loss minus background loss: the lower, the more it looks like the target.
 
-Every word of the corpus is counted, in a distributed table that grows with it; the driver and the executors hold only the bounded
-vocabulary and the two bounded pair vectors.
+Every word and every pair has its own count, in distributed tables that grow with the corpus: there is no largest vocabulary, no unknown
+word and no bucket that pairs share. The pair table is joined with the word table to price each pair, and with the pairs of the texts to
+score these. What executors hold of the tables, the ``HOT_WORDS`` and ``HOT_PAIRS`` most frequent entries at most, only saves
+their joins: the values are the same. Words and pairs are told apart by 64-bit hashes.
 
 Null and empty texts have no tokens and null losses. Repeated rows are counted and scored each. Without target
 texts the target model is uniform.
@@ -15,157 +16,182 @@ texts the target model is uniform.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, keyed, materialize, table, text_of
-from .textvec import U64, Words, mix, words
-from .vectors import sum_vectors, with_labels
+from .textvec import _ODD, U64, Words, mix, words
+from .vectors import with_labels
 
-VOCABULARY, PAIRS, WEIGHT = 65_536, 1 << 20, 5.0
-#: Distinct words that a task holds before it passes their counts on.
+WEIGHT = 5.0
+#: Entries of the word and the pair table that executors hold at most, to save their joins.
+HOT_WORDS, HOT_PAIRS = 1 << 18, 1 << 19
+#: Distinct n-grams that a task holds before it passes their counts on.
 HELD = 400_000
+#: The context of a text's first word.
+START = U64(0x7E55E11A0C0FFEE1)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word hash, n) of every word of the corpus; ``docs`` has text."""
+def _before(w: Words) -> np.ndarray:
+    """The word before each word; a text's first has the start."""
+    before = np.empty_like(w.hashes)
+    before[1:] = w.hashes[:-1]
+    before[w.bounds[:-1][np.diff(w.bounds) > 0]] = START
+    return before
+
+
+def _key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(before) * _ODD[1] + word)
+
+
+def _of_words(w: Words, good: np.ndarray) -> tuple[list, list]:
+    """Each word of a block, and the start: its count and its count as a context, in all texts and in those of the target."""
+    keys, at = np.unique(np.append(w.hashes, START), return_inverse=True)
+    _, context = np.unique(np.append(_before(w), keys), return_inverse=True)  # a context is a word of the block, or the start
+    context = context[: len(w.hashes)]
+    word, n = at[:-1], len(keys)
+    return [keys], [np.bincount(word, minlength=n), np.bincount(word, good, n), np.bincount(context, minlength=n), np.bincount(context, good, n)]
+
+
+def _of_pairs(w: Words, good: np.ndarray) -> tuple[list, list]:
+    before = _before(w)
+    _, first, at = np.unique(_key(before, w.hashes), return_index=True, return_inverse=True)
+    return [before[first], w.hashes[first]], [np.bincount(at, minlength=len(first)), np.bincount(at, good, len(first))]
+
 
-    def count(batches):
+def _tally(docs: DataFrame, of: Callable, names: list[str], counts: list[str]) -> DataFrame:
+    """The counts of every n-gram of ``docs`` (text, _label), added up in the tasks first as far as these hold them."""
+
+    def run(batches):
         held, n = [], 0
 
-        def flush():
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
-            return keys, total
+        def merged():
+            grams, values = ([np.concatenate(c) for c in zip(*side)] for side in zip(*held))
+            key = grams[0] if len(grams) == 1 else _key(*grams)
+            _, first, at = np.unique(key, return_index=True, return_inverse=True)
+            return [g[first] for g in grams], [np.bincount(at, v, len(first)) for v in values]
+
+        def batch_of(part):
+            return pa.RecordBatch.from_arrays([*[pa.array(g.view(np.int64)) for g in part[0]], *[pa.array(v.astype(np.int64)) for v in part[1]]], names=[*names, *counts])
 
-        for _, texts in blocks(batches):
-            keys, c = np.unique(words(texts).hashes, return_counts=True)
-            held.append((keys, c))
-            n += len(keys)
+        for batch, texts in blocks(batches):
+            w = words(texts)
+            if not len(w.hashes):
+                continue
+            good = (batch.column(1).fill_null(0).to_numpy(zero_copy_only=False) == 1)[w.doc]
+            held.append(of(w, good))
+            n += len(held[-1][0][0])
             if n > 4 * HELD:
-                held, n = [flush()], 0
-                n = len(held[0][0])
+                held = [merged()]
+                n = len(held[0][0][0])
                 if n > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].astype(np.int64)), pa.array(held[0][1])], names=["word", "n"])
+                    yield batch_of(held[0])
                     held, n = [], 0
         if held:
-            keys, c = flush()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(c)], names=["word", "n"])
-
-    return docs.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Hashes of the most frequent words (the least hash first on a tie), ascending.
-
-    The count at the cut is found from how many words have each count, so that only words at or above it are sorted; those
-    at the cut itself are cut by hash, again by a bound found from coarse ranges of the hash.
-    """
-    counts = materialize(word_counts(docs), "words")
-    held, cut = 0, 1
-    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(size + 1).toLocalIterator():
-        cut = r.n
-        if held + r.k >= size:
-            break
-        held += r.k
-    left = size - held
-    parts = sorted((r.b, r.k) for r in counts.where(F.col("n") == cut).groupBy(F.shiftright("word", 52).alias("b")).agg(F.count(F.lit(1)).alias("k")).collect())
-    bound = None
-    for b, k in parts:
-        bound, left = b, left - k
-        if left <= 0:
-            break
-    near = (F.col("n") > cut) | ((F.col("n") == cut) & (F.shiftright("word", 52) <= F.lit(bound)))
-    top = counts.where(near).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
-    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
-
-
-class Index:
-    """Word hash to its number in the vocabulary; unknown words are number ``size``."""
-
-    def __init__(self, known: np.ndarray):
-        self.known, self.size = known, len(known)
-        self.near = np.zeros(1 << 22, bool)
-        self.near[(known & U64((1 << 22) - 1)).astype(np.int64)] = True
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), self.size, np.int64)
-        at = np.flatnonzero(self.near[(hashes & U64((1 << 22) - 1)).astype(np.int64)])
-        if len(at):
-            k = np.minimum(np.searchsorted(self.known, hashes[at]), self.size - 1)
-            good = self.known[k] == hashes[at]
-            out[at[good]] = k[good]
-        return out
-
-
-def _pairs(index: Index, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of each word, of its context (the text's start is ``size + 1``), and their pair's bucket."""
-    word = index(w.hashes)
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    heads = w.bounds[:-1][np.diff(w.bounds) > 0]
-    before[heads] = index.size + 1
-    key = before.astype(np.uint64) * U64(index.size + 2) + word.astype(np.uint64)
-    return word, before, (mix(key) & U64(PAIRS - 1)).astype(np.int64)
-
-
-class Model:
-    """Unigram and pair counts over the shared vocabulary."""
-
-    def __init__(self, unigrams: np.ndarray, contexts: np.ndarray, pairs: np.ndarray):
-        self.unigram = ((unigrams + 1) / (unigrams.sum() + len(unigrams))).astype(np.float32)
-        self.context, self.pairs = contexts.astype(np.float32), pairs.astype(np.float32)
-
-    def loss(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        # a bucket may hold other pairs too, so its count is bounded by that of the context
-        seen = np.minimum(self.pairs[pair], self.context[before])
-        return -np.log((seen + WEIGHT * self.unigram[word]) / (self.context[before] + WEIGHT))
-
-
-def fit(docs: DataFrame, known: np.ndarray) -> tuple[Model, Model]:
-    """Target (``_label`` is 1) and background model of ``docs`` (text, _label), counted in one pass over all texts."""
-    index = Index(known)
-    n = index.size + 2
-    size = 2 * (2 * n + PAIRS)
-
-    def count(batches, total):
-        parts = total[:size].reshape(2, -1)
-        for batch, texts in blocks(batches):
-            w = words(texts)
-            word, before, pair = _pairs(index, w)
-            good = (batch.column(1).fill_null(0).to_numpy(zero_copy_only=False) == 1)[w.doc]
-            for k, pick in ((0, good), (1, slice(None))):
-                np.add(parts[k, :n], np.bincount(word[pick], minlength=n), out=parts[k, :n])
-                np.add(parts[k, n : 2 * n], np.bincount(before[pick], minlength=n), out=parts[k, n : 2 * n])
-                at, c = np.unique(pair[pick], return_counts=True)
-                parts[k, 2 * n + at] += c
+            yield batch_of(merged())
+
+    found = docs.select("text", "_label").mapInArrow(run, ", ".join(f"{c} bigint" for c in (*names, *counts)))
+    return found.groupBy(*names).agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def model_words(docs: DataFrame) -> DataFrame:
+    """word, n and t (its count in all texts and in the target's), as_n and as_t (as a context); the start is a context only."""
+    return _tally(docs, _of_words, ["word"], ["n", "t", "as_n", "as_t"])
+
+
+def model_pairs(docs: DataFrame) -> DataFrame:
+    """before, word, n and t of every pair."""
+    return _tally(docs, _of_pairs, ["before", "word"], ["n", "t"])
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word hash, n) of every word of the corpus; ``docs`` has text."""
+    return model_words(docs.select("text", F.lit(None).cast("int").alias("_label"))).where("n > 0").select("word", "n")
+
+
+def _cut(counts: DataFrame, limit: int) -> int:
+    """The least n so that at most ``limit`` rows have it or more."""
+    held, last = 0, None
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(limit + 1).toLocalIterator():
+        held, last = held + r.k, r.n
+        if held > limit:
+            return last + 1
+    return last or 1
+
+
+def _find(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each value among the known ones (ascending), and whether it is there."""
+    if not len(known):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return at, known[at] == values
+
+
+_PRICED = "key bigint, n bigint, t bigint, before bigint, word bigint, target float, background float"
+
+
+def priced_pairs(docs: DataFrame, hot_words: int) -> DataFrame:
+    """key, n, and the losses target and background of every pair of ``docs`` (text, _label)."""
+    vocabulary = materialize(model_words(docs), "words")
+    s = vocabulary.agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.coalesce(F.sum((F.col("n") > 0).cast("bigint")), F.lit(0)).alias("v")).first()
+    all_n, all_t = (s.n or 0) + s.v, (s.t or 0) + s.v
+    hot = vocabulary.where((F.col("n") >= _cut(vocabulary, hot_words)) | (F.col("word") == int(START.astype(np.int64)))).toArrow().sort_by("word")
+    known, n, t, as_n, as_t = (hot.column(c).to_numpy() for c in ("word", "n", "t", "as_n", "as_t"))
+
+    def price(batches):
+        for batch in batches:
+            before, word, own_n, own_t = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            i, is_i = _find(known, before)
+            j, is_j = _find(known, word)
+            cold = ~(is_i & is_j)
+            losses = [np.zeros(len(word))] * 2
+            if len(known):
+                losses = [-np.log((x + WEIGHT * ((u[j] + 1) / total)) / (c[i] + WEIGHT)) for x, u, c, total in ((own_t, t, as_t, all_t), (own_n, n, as_n, all_n))]
+            key = _key(before.view(np.uint64), word.view(np.uint64)).view(np.int64)
+            parts = [pa.array(key), batch.column(2), *[pa.array(x, pa.int64(), mask=~cold) for x in (own_t, before, word)], *[pa.array(x.astype(np.float32), mask=cold) for x in losses]]
+            yield pa.RecordBatch.from_arrays(parts, names=["key", "n", "t", "before", "word", "target", "background"])
+
+    pairs = materialize(model_pairs(docs).mapInArrow(price, _PRICED), "pairs")
+    own = vocabulary.select("word", F.col("n").alias("u_n"), F.col("t").alias("u_t"))
+    context = vocabulary.select(F.col("word").alias("before"), "as_n", "as_t")
+    rest = pairs.where("word is not null").join(own, "word").join(context, "before")
+
+    def loss(x: str, u: str, c: str, total: int) -> Column:
+        return (-F.log((F.col(x) + WEIGHT * ((F.col(u) + 1) / F.lit(float(total)))) / (F.col(c) + WEIGHT))).cast("float")
 
-    counts = sum_vectors(docs.select("text", "_label"), count, size).reshape(2, -1)
-    return tuple(Model(c[: n - 1], c[n : 2 * n], c[2 * n :]) for c in counts)
+    rest = rest.select("key", "n", loss("t", "u_t", "as_t", all_t).alias("target"), loss("n", "u_n", "as_n", all_n).alias("background"))
+    return pairs.where("word is null").select("key", "n", "target", "background").unionByName(rest)
 
 
-def score(docs: DataFrame, trusted: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, trusted: DataFrame, hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): n_tokens, target_loss, background_loss and score; ``trusted`` has doc_id, quality."""
     docs = keyed(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), text_of().alias("text"))
-    known = vocabulary(docs, size)
-    target, background = fit(with_labels(docs, trusted, "quality"), known)
-    index = Index(known)
+    prices = priced_pairs(with_labels(docs, trusted, "quality"), hot_words)
+    cut = _cut(prices, hot_pairs)
+    hot = prices.where(F.col("n") >= cut).select("key", "target", "background").toArrow().sort_by("key")
+    known, *held = (hot.column(k).to_numpy() for k in range(3))
 
     def run(batches):
         for batch, texts in blocks(batches):
             w = words(texts)
-            word, before, pair = _pairs(index, w)
-            n = np.diff(w.bounds)
-            sums = []
-            for model in (target, background):
-                total = np.concatenate(([0.0], np.cumsum(model.loss(word, before, pair), dtype=np.float64)))
-                sums.append(total[w.bounds[1:]] - total[w.bounds[:-1]])
-            means = [np.round(s / np.maximum(n, 1), 6) for s in (*sums, sums[0] - sums[1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *[pa.array(m, pa.float64(), mask=n == 0) for m in means]], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+            key = _key(_before(w), w.hashes).view(np.int64)
+            at, is_hot = _find(known, key)
+            sums = [np.bincount(w.doc[is_hot], loss[at[is_hot]], len(texts)) for loss in held]
+            cold = np.concatenate(([0], np.cumsum(~is_hot)))[w.bounds].astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(cold), pa.array(key[~is_hot]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(w.bounds)), *[pa.array(x, pa.float64()) for x in sums], keys], names=["_row", "doc_id", "n_tokens", "t", "b", "keys"])
+
+    texts = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
+    texts = materialize(texts.mapInArrow(run, "_row bigint, doc_id bigint, n_tokens bigint, t double, b double, keys array<bigint>"), "texts")
+    cold = texts.select("_row", F.explode("keys").alias("key")).join(prices.where(F.col("n") < cut).select("key", "target", "background"), "key")
+    cold = cold.groupBy("_row").agg(F.sum("target").alias("cold_t"), F.sum("background").alias("cold_b"))
+    means = [((F.col(x) + F.coalesce(f"cold_{x}", F.lit(0.0))) / F.when(F.col("n_tokens") > 0, F.col("n_tokens"))) for x in ("t", "b")]
+    names = ("target_loss", "background_loss", "score")
+    return texts.drop("keys").join(cold, "_row", "left").select("doc_id", "n_tokens", *[F.round(x, 6).alias(c) for x, c in zip((*means, means[0] - means[1]), names)])
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

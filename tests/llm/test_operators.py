@@ -186,6 +186,38 @@ def test_lm_scores_prefer_the_target(spark):
     assert sorted(counts.values()) == [200] * 8
 
 
+@pytest.mark.parametrize("hot", [None, 0, 300])
+def test_lm_scores_are_those_of_real_pairs(spark, docs, odd, hot):
+    """Every word and every pair has its own count: the losses are those of plain dictionaries, whatever executors hold."""
+    from collections import Counter
+
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(lower))
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id bigint, quality int")
+    for frame in (docs, odd):
+        texts = [(d, split(t)) for d, t in pairs(frame)]
+        good = [d is not None and d < 120 and d % 3 == 0 for d, _ in texts]
+        models = []
+        for pick in (good, [True] * len(texts)):
+            word, context, pair = Counter(), Counter(), Counter()
+            for (_, w), own in zip(texts, pick):
+                if own:
+                    word.update(w)
+                    context.update([None, *w[:-1]] if w else [])
+                    pair.update(zip([None, *w[:-1]], w))
+            models.append((word, context, pair))
+        size = len(models[1][0])
+        want = []
+        for d, w in texts:
+            loss = [np.mean([-np.log((p[b, x] + 5 * (u[x] + 1) / (u.total() + size)) / (c[b] + 5)) for b, x in zip([None, *w[:-1]], w)]) if w else None for u, c, p in models]
+            want.append((str(d), len(w), *loss))
+        limits = {} if hot is None else {"hot_words": hot, "hot_pairs": hot}
+        got = [(str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in lm_scoring.score(frame, lab, **limits).collect()]
+        key = lambda x: (*x[:2], x[2] or 0)
+        for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+            assert a[:2] == b[:2] and (a[2:] == b[2:] or np.allclose(a[2:], b[2:], atol=3e-6))
+
+
 @pytest.mark.parametrize("rule", ["start", "majority"])
 def test_op4(docs, rule):
     tok, want = encoder(BYTE).tok, []
