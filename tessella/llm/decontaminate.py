@@ -9,6 +9,8 @@ The benchmark is used in blocks of items with at most ``BLOCK_CHARS`` of text, s
 fixed bound; each block is one pass over the documents, and the passes' hits are merged by document row.
 
 Null or empty texts have no words and are clean. Repeated rows are judged each. An empty benchmark hits nothing.
+With ``unnamed``, as the query and the pipeline ask for it, items without an id are searched too: their windows count in n_hit
+and decide what is contaminated, but with no id they add nothing to the items (n_items and items_sha256). Without it they are left out.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ TRIED = 1 << 20
 class Windows:
     """The distinct windows of a block of items, as places in the block's words: a few arrays, without an object for each window."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int):
+    def __init__(self, items: list[tuple[str | None, str]], size: int):
         self.text = w = words(pa.array([t for _, t in items], pa.large_string()), "alnum")
         self.names = [item for item, _ in items]
         ids: dict[bytes, int] = {}
@@ -57,7 +59,7 @@ class Windows:
         self.vocabulary = np.unique(w.hashes)
 
     def items(self, window: int) -> list[str]:
-        return [self.names[i] for i in self.item[self.item_cut[window] : self.item_cut[window + 1]]]
+        return [self.names[i] for i in self.item[self.item_cut[window] : self.item_cut[window + 1]] if self.names[i] is not None]
 
     def order_by_rarity(self, count: np.ndarray) -> None:
         """Choose each window's prefix: its rarest word (the least hash on a tie), at its first place there."""
@@ -161,19 +163,20 @@ def _hits(docs: DataFrame, windows: Windows) -> DataFrame:
     return docs.mapInArrow(hits, _HITS)
 
 
-def _item_blocks(benchmark: DataFrame, size: int, block_chars: int) -> Iterator[tuple[Windows, int]]:
-    benchmark = keyed(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item"), text_of().alias("text")).where(F.col("item").isNotNull())
+def _item_blocks(benchmark: DataFrame, size: int, block_chars: int, unnamed: bool) -> Iterator[tuple[Windows, int]]:
+    benchmark = keyed(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item"), text_of().alias("text"))
+    benchmark = benchmark.where(F.lit(unnamed) | F.col("item").isNotNull()).distinct()
     n = 1 + (benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars
     for k in range(n):
-        block = benchmark.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else benchmark
+        block = benchmark.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else benchmark
         yield Windows([(r.item, r.text) for r in block.orderBy("item", "text").collect()], size), n
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_chars: int = BLOCK_CHARS, unnamed: bool = False) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): n_words, n_hit, items (their ids as sorted strings)."""
     docs = keyed(docs, "doc_id", "text").select(F.lit(0).cast("bigint").alias("_row"), F.col("doc_id").cast("bigint"), text_of().alias("text"))
     found = None
-    for windows, n_blocks in _item_blocks(benchmark, size, block_chars):
+    for windows, n_blocks in _item_blocks(benchmark, size, block_chars, unnamed):
         if found is None and n_blocks > 1:  # only then do rows need a name; written, so that it stays the same in every pass
             docs = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
         windows.order_by_rarity(_count_words(docs, windows.vocabulary))
@@ -198,10 +201,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block
     return found.select("_row", "doc_id", "n_words", "spans", "items").mapInArrow(finish, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_chars: int = BLOCK_CHARS, unnamed: bool = False) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text has no hit; nothing is shuffled."""
     names, schema, own = docs.columns, docs.schema, free_name(docs, "_text")
-    for windows, _ in _item_blocks(benchmark, size, block_chars):
+    for windows, _ in _item_blocks(benchmark, size, block_chars, unnamed):
         windows.order_by_rarity(_count_words(docs.select(text_of().alias("text")), windows.vocabulary))
         if not len(windows.keys):
             continue
@@ -221,6 +224,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, b
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in passages of the benchmark, and the items these come from."""
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True)
     names = F.array_join("items", ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -399,6 +399,25 @@ def test_op10(spark, docs, odd, limit):
         assert clean == sorted(a for a, _, h, _, _ in want if h == 0)
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BLOCK_CHARS, 40])
+def test_items_without_an_id(spark, tmp_path, limit):
+    """Their passages are hits like any other; only the list of items doesn't name them."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+    long = " ".join(f"w{k}" for k in range(14))
+    bench = spark.createDataFrame([(1, "named passage of four"), (None, long), (None, "short one"), (None, "short one")], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, f"a {long} b"), (2, "a short one and a named passage of four"), (3, "clean")], "doc_id bigint, text string")
+    want = [(1, 16, 14, [], True), (2, 9, 6, ["1"], True), (3, 1, 0, [], False)]
+    got = decontaminate.contamination(d, bench, block_chars=limit, unnamed=True).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == [x[:4] for x in want]
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = decontaminate.op10_decontamination(spark, str(tmp_path)).collect()
+    names = lambda x: hashlib.sha256(",".join(x).encode()).hexdigest()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows) == [(a, n, h, len(x), names(x), c) for a, n, h, x, c in want]
+    assert [r.doc_id for r in corpus_pipeline.clean(spark, d, str(tmp_path)).collect()] == [3]
+
+
 @pytest.mark.parametrize("tried", [1, 7, 1 << 20])
 def test_op10_few_words(spark, monkeypatch, tried):
     """Texts and items of two or three words, so that every window occurs often; prefixes are tried in small steps."""
