@@ -236,8 +236,11 @@ def _across(shared: DataFrame, label: DataFrame, classes: DataFrame, texts: Data
     return materialize(hopeful.join(texts, "id").select("key", "i", "j", "id", "n", "c", "block", "sketch", "text").groupBy("key", "i", "j").applyInArrow(link, "a bigint, b bigint"), "across")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): n_shingles and component_id, the least doc_id that it can reach."""
+def _found(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): h (the hash of its text), n_shingles, node (null for an empty set) and component_id.
+
+    Rows have the same node if they are of one component; a component_id may be that of several components, where rows share a doc_id.
+    """
     docs = keyed(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
     sig = materialize(signatures(docs, size), "signatures")
     classes = sig.where("k1 is not null").groupBy("k1", "k2").agg(F.min("h").alias("id"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
@@ -255,16 +258,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     label = components(links)
     named = classes.select("k1", "k2", "id", "least").join(label.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "least", F.coalesce("component", "id").alias("c"))
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    return sig.select("doc_id", "n_shingles", "k1", "k2").join(named.join(least, "c").select("k1", "k2", "component_id"), ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    nodes = named.join(least, "c").select("k1", "k2", F.col("c").alias("node"), "component_id")
+    return sig.select("doc_id", "h", "n_shingles", "k1", "k2").join(nodes, ["k1", "k2"], "left").select("doc_id", "h", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): n_shingles and component_id, the least doc_id that it can reach."""
+    return _found(docs, size, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are the first of their component; rows repeating a doc_id become one."""
-    key = free_name(docs, "_id")
-    found = near_duplicates(docs, size, percent).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
-    found = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("c"))).select(F.col("doc_id").alias(key), "n"), "firsts")
-    left = docs.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)), "left_semi")
-    return left.dropDuplicates(["doc_id"]) if found.where("n > 1").limit(1).count() else left
+    """One row of each component of ``docs``, with all its columns, and all rows without words, which are copies of nothing.
+
+    It is the row with the least doc_id (a null one is the last), then the least hash of its text. Rows are told apart by both, so
+    different texts under one or no doc_id are kept or dropped each for itself; of rows that have both in common one is left.
+    """
+    key, own = free_name(docs, "_id"), free_name(docs, "_h")
+    found = materialize(_found(docs, size, percent).groupBy("node", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "n")).alias("x")
+    firsts = found.where("node is not null").groupBy("node").agg(first).select("x.doc_id", "x.h", (F.col("x.n") > 1).alias("again"))
+    firsts = firsts.unionByName(found.where("node is null").select("doc_id", "h", F.lit(False).alias("again")))
+    firsts = materialize(firsts.select(F.col("doc_id").alias(key), F.col("h").alias(own), "again"), "firsts")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    docs = docs.select(*names, F.col("doc_id").cast("bigint").alias(key), F.xxhash64(text_of()).alias(own))
+
+    def rows_of(kept: DataFrame) -> DataFrame:
+        kept = kept.select(F.col(key).alias("_a"), F.col(own).alias("_b"))
+        return docs.join(kept, docs[key].eqNullSafe(kept["_a"]) & (docs[own] == kept["_b"]), "left_semi")
+
+    left = rows_of(firsts.where("not again"))
+    again = firsts.where("again")
+    if again.limit(1).count():
+        left = left.unionByName(rows_of(again).dropDuplicates([key, own]))
+    return left.select(*names)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

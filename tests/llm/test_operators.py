@@ -335,6 +335,19 @@ def test_near_copies_in_one_bucket(spark, monkeypatch):
     assert got == {d: c for d, _, c, _ in brute.near_components(rows)}
 
 
+def test_first_rows_of_shared_ids(spark):
+    """Rows that share a doc_id, or have none, are kept or dropped by their own text."""
+    text = lambda name: " ".join(f"{name}{k}" for k in range(30))
+    rows = [(3, text("x")), (7, text("x")), (7, text("y")), (None, text("x")), (None, text("z")), (None, text("v")), (None, text("v")), (8, text("u")), (8, text("u")), (None, ""), (None, None), (9, " ")]
+    d = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, _h int")
+    got = near_dedup.keep_first(d)
+    assert got.columns == d.columns
+    want = [(3, text("x")), (7, text("y")), (None, text("z")), (None, text("v")), (8, text("u")), (None, ""), (None, None), (9, " ")]
+    assert sorted(map(repr, pairs(got))) == sorted(map(repr, want))
+    again = spark.createDataFrame([(None, text(f"n{i}")) for i in range(40)] + [(1, text("n5"))], "doc_id bigint, text string")
+    assert sorted(t for _, t in pairs(near_dedup.keep_first(again))) == sorted(text(f"n{i}") for i in range(40))
+
+
 def test_sketches_merge_and_estimate():
     r = np.random.default_rng(7)
     x = r.integers(0, 1 << 63, 3000, dtype=np.int64).astype(np.uint64)
