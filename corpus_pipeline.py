@@ -27,7 +27,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def safe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets that are not widely copied examples."""
-    return secrets.redact(docs)
+    return secrets.redact(docs, strict=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,18 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame operations only.
 
 Every text is searched for three base kinds (leftmost, non-overlapping within a kind) and for random-looking tokens.
-Candidates are hashed, and the corpus counts in how many repositories and by how many owners each hash occurs:
+Candidates are hashed, and the corpus counts by how many owners, in how many repositories and in how many different texts each hash occurs:
 
-* a value that ``WIDE`` or more owners hold is a widely copied example;
-* a value of one owner that looks random is a live credential.
+* a widely copied value is an example;
+* any other that looks random is a live credential.
+
+Widely copied is what ``WIDE`` or more owners hold: that is the rule of the query, fixed by its SQL. With ``strict``, as in the pipeline,
+both counts decide, and whole copies of a text count once: ``COPIED_OWNERS`` owners or ``COPIED_REPOSITORIES`` repositories, and as many
+different texts. So a placeholder all over one source is an example, and a secret that a copied document took to a second source is not.
 
 Base spans are always reported, with that verdict; a random-looking token is added (kind ``owned``) only if it is live and touches no base span.
 
-Counting goes by (hash, owner, repository), then (hash, owner), then hash: each step is combined before its shuffle, so a value that
+Counting goes by (hash, owner, repository, text), then by fewer of these, then by hash: each step is combined before its shuffle, so a value that
 a third of all rows hold is spread over its owners and repositories first. Documents themselves are never shuffled.
 
 Null texts are empty. A null owner or repository counts as one unnamed owner or repository. Repeated rows are
@@ -31,6 +35,8 @@ KINDS = (
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 #: Owners from which on a value is a copied example; distinct characters that a random-looking value has at least.
 WIDE, DISTINCT = 2, 10
+#: The strict rule: owners, or else repositories, from which on a value is widely copied.
+COPIED_OWNERS, COPIED_REPOSITORIES = 5, 100
 #: Matches of one text whose places are found together.
 CHUNK = 256
 
@@ -92,41 +98,51 @@ def _untouched(tokens: Column) -> Column:
 
 
 def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """_row, doc_id, owner, repository and spans: base matches, and random-looking tokens that touch none of them."""
+    """_row, doc_id, owner, repository, text_h (the hash of the text) and spans: base matches, and random-looking tokens that touch none of them."""
     own = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((owner, "owner"), (repository, "repository"))]
     scan = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("bigint"), *own, text_of().alias("_text"))
+    names = ["_row", "doc_id", "owner", "repository", "text_h"]
+    scan = scan.withColumn("text_h", F.xxhash64("_text"))
     base = F.concat(*[_matches(F.col("_text"), *k, rank) for rank, k in enumerate(KINDS)])
     tokens = _matches(F.col("_text"), "owned", TOKEN, 0, 20, len(KINDS))
-    scan = scan.select("_row", "doc_id", "owner", "repository", base.alias("base"), tokens.alias("tokens"))
+    scan = scan.select(*names, base.alias("base"), tokens.alias("tokens"))
     likely = F.array(F.filter("tokens", lambda t: _random_looking(t["value"])))  # one item, evaluated once
     free = F.flatten(F.transform(likely, lambda t: F.flatten(F.transform(_chunks(t), _untouched))))
-    return scan.select("_row", "doc_id", "owner", "repository", F.concat("base", free).alias("spans"))
+    return scan.select(*names, F.concat("base", free).alias("spans"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """h, n_owners, n_repositories: how the corpus holds each candidate hash; ``found`` has h, owner, repository."""
-    once = found.groupBy("h", "owner", "repository").agg(F.lit(1).alias("one")).drop("one")
-    owners = once.groupBy("h", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return owners.groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
+    """h, n_owners, n_repositories, n_texts: how the corpus holds each candidate hash; ``found`` has h, owner, repository, text_h."""
+    once = found.groupBy("h", "owner", "repository", "text_h").agg(F.lit(1).alias("one"))
+    owners = once.groupBy("h", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("h", "owner").agg(F.count(F.lit(1)).alias("n"))
+    texts = once.groupBy("h", "text_h").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n_texts"))
+    return owners.groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories")).join(texts, "h")
+
+
+_COUNTS = ("n_owners", "n_repositories", "n_texts")
+_VERDICTS = "array<struct<start:int,rank:int,end:int,kind:string,verdict:string,n_owners:bigint,n_repositories:bigint,n_texts:bigint>>"
 
 
-_VERDICTS = "array<struct<start:int,rank:int,end:int,kind:string,verdict:string>>"
+def _wide(strict: bool) -> Column:
+    if not strict:
+        return F.col("n_owners") >= WIDE
+    return (F.least("n_owners", "n_texts") >= COPIED_OWNERS) | (F.least("n_repositories", "n_texts") >= COPIED_REPOSITORIES)
 
 
-def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """For each row of ``docs``: doc_id and spans, array<struct<start, rank, end, kind, verdict>> in order.
+def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_id", strict: bool = False) -> DataFrame:
+    """For each row of ``docs``: doc_id, text_h and spans, array<struct<start, rank, end, kind, verdict, and the counts>> in order.
 
-    verdict: ``live`` (one owner, looks random), ``example`` (WIDE owners or more) or ``owner-specific`` (the rest).
+    verdict: ``example`` (widely copied), ``live`` (looks random) or ``owner-specific`` (the rest).
     """
     scan = materialize(candidates(docs, owner, repository), "candidates")
-    rows = scan.where(F.size("spans") > 0).select("_row", "doc_id", "owner", "repository", F.explode("spans").alias("s")).withColumn("h", F.xxhash64("s.value"))
-    verdict = F.when(F.col("n_owners") >= WIDE, "example").when(_random_looking(F.col("s.value")), "live").otherwise("owner-specific")
+    rows = scan.where(F.size("spans") > 0).select("_row", "doc_id", "owner", "repository", "text_h", F.explode("spans").alias("s")).withColumn("h", F.xxhash64("s.value"))
+    verdict = F.when(_wide(strict), "example").when(_random_looking(F.col("s.value")), "live").otherwise("owner-specific")
     judged = rows.join(ownership(rows), "h").withColumn("verdict", verdict).where((F.col("s.kind") != "owned") | (F.col("verdict") == "live"))
-    span = F.struct("s.start", "s.rank", "s.end", "s.kind", "verdict")
-    some = judged.groupBy("_row", "doc_id").agg(F.sort_array(F.collect_list(span)).alias("spans")).select("_row", "doc_id", F.col("spans").cast(_VERDICTS).alias("spans"))
+    span = F.struct("s.start", "s.rank", "s.end", "s.kind", "verdict", *_COUNTS)
+    some = judged.groupBy("_row", "doc_id", "text_h").agg(F.sort_array(F.collect_list(span)).alias("spans")).select("_row", "doc_id", "text_h", F.col("spans").cast(_VERDICTS).alias("spans"))
     # texts whose only candidates were tokens that came to nothing, and those without any
-    none = scan.select("_row", "doc_id").join(some.select("_row"), "_row", "left_anti").select("doc_id", F.array().cast(_VERDICTS).alias("spans"))
-    return some.select("doc_id", "spans").unionByName(none)
+    none = scan.select("_row", "doc_id", "text_h").join(some.select("_row"), "_row", "left_anti").select("doc_id", "text_h", F.array().cast(_VERDICTS).alias("spans"))
+    return some.select("doc_id", "text_h", "spans").unionByName(none)
 
 
 def _joined(spans: Column) -> Column:
@@ -137,19 +153,19 @@ def _count(field: str, value: str) -> Column:
     return F.size(F.filter("spans", lambda s: s[field] == value)).cast("bigint").alias(f"n_{value}")
 
 
-def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mark: str = "[SECRET]", strict: bool = False) -> DataFrame:
     """``docs`` with every span that is not a widely copied example replaced by ``mark``, and n_chars to match.
 
-    Only texts that may hold a secret are joined with their spans (by doc_id); the others pass as they are.
-    Rows that share a doc_id are redacted at the spans of all of them.
+    Only texts that may hold a secret are joined with their spans (by doc_id and text); the others pass as they are.
+    Rows that share a doc_id are redacted each at the spans of its own text.
     """
-    key, own = free_name(docs, "_id"), free_name(docs, "_spans")
+    key, same, own = free_name(docs, "_id"), free_name(docs, "_same"), free_name(docs, "_spans")
     may = F.lit(False)
     for pattern in (*(k[1] for k in KINDS), TOKEN):
         may = may | F.regexp_like(text_of(), F.lit(pattern))
-    found = secret_spans(docs.where(may), owner, repository).select("doc_id", F.filter("spans", lambda s: s["verdict"] != "example").alias("spans"))
-    found = found.where(F.size("spans") > 0).groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias(own))
-    hold = docs.where(may).join(found.withColumnRenamed("doc_id", key), F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)), "left")
+    found = secret_spans(docs.where(may), owner, repository, strict).select("doc_id", "text_h", F.filter("spans", lambda s: s["verdict"] != "example").alias("spans"))
+    found = found.where(F.size("spans") > 0).groupBy(F.col("doc_id").alias(key), F.col("text_h").alias(same)).agg(F.first("spans").alias(own))
+    hold = docs.where(may).join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)) & (F.xxhash64(text_of()) == F.col(same)), "left")
     # each step appends what lies before the next span, unless that begins inside the last one
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -145,6 +145,23 @@ def test_ownership(spark):
     assert {r.doc_id: r.text for r in secrets.redact(d).collect()} == {1: "see [SECRET] here", 2: rows[1][1], 3: rows[2][1], 4: rows[3][1]}
 
 
+def test_strict_ownership(spark):
+    """Both counts decide in the pipeline: what one source repeats everywhere stays, what copies took to other sources goes."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    path, copied, shared = "Zk3Jq9Xw7Lm2Pv5Rt8Ny", "Ab1Cd2Ef3Gh4Ij5Kl6Mn", "Qw9Er8Ty7Ui6Op5As4Df"
+    rows = [(i, f"text {i} at {path}", "hot") for i in range(secrets.COPIED_REPOSITORIES)]
+    rows += [(1000 + i, f"the same text, token={copied}", f"s{i}") for i in range(secrets.COPIED_OWNERS)]
+    rows += [(2000 + i, f"text {i}: token={copied if i < 1 else shared}", f"s{i}") for i in range(secrets.COPIED_OWNERS + 1)]
+    rows += [(None, "no id, token=Lk1Jh2Gf3Ds4Ap5Oi6Uy", "a"), (None, "another text without an id, and without any", "a"), (None, "é token=Mn1Bv2Cx3Zl4Kj5Hg6Fd", "a")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted(r.text for r in corpus_pipeline.safe(spark, d, "").collect())
+    want = [t if copied not in t and not t.startswith(("no id", "é")) else t.replace(f"token={copied}", "[SECRET]") for _, t, _ in rows]
+    want = [re.sub("^(no id, |é )token=.*", r"\1[SECRET]", t) for t in want]
+    assert got == sorted(want)
+    spans = {r.doc_id: [(s.n_owners, s.n_repositories, s.n_texts) for s in r.spans] for r in secrets.secret_spans(d, strict=True).collect()}
+    assert spans[0] == [] and spans[1000] == [(secrets.COPIED_OWNERS, secrets.COPIED_OWNERS + 1, 2)]
+
+
 def test_op3(spark, docs, odd):
     from collections import Counter
 
