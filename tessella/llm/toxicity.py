@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Restoring: tokens with digits or signs among letters, letters repeated three times or more, and single characters set apart
-("i d i o t") become character lattices. Each place offers what may have been meant (the character, the letters it is drawn for, one or two
-of a repeated letter); Viterbi decoding under a character trigram model of the corpus, with a cost for each change, picks
+Restoring: tokens with digits or signs among or after letters, letters repeated three times or more, and runs of single characters set apart
+("i d i o t", "(i-d.i o_t,") become character lattices. Each place offers what may have been meant (the character, the letters it is drawn for, one or two
+of a repeated letter, nothing for a sign at the end); each separator of a run is nothing or a word's edge, so that "y o u i d i o t" has two words. Viterbi decoding under a character trigram model of the corpus, with a cost for each change, picks
 the text. Other tokens have a single path and stay as they are.
 
 Scoring: features are the distinct words of the restored text and their first bytes (4 to 8), hashed. On labelled rows the documents with
@@ -33,11 +33,17 @@ PREFIXES = (4, 5, 6, 7, 8)
 DRAWN = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SWAP, KEEP, FOLD, JOIN = 0.7, 4.0, 0.3, 0.2
 
-_HINT = re.compile(r"[0-9@$!|+][A-Za-z]|[A-Za-z][0-9]|([A-Za-z])\1\1|(?<!\S)\S[ ._*-]\S[ ._*-]\S")
+_SEPARATOR = r"[\s\"#%&'()*,./:;<=>?\[\\\]^_`{}~-]{1,3}"
+#: Three or more single characters set apart, whatever stands around them; a "!" at the end is none of them.
+_RUN = rf"(?<![^\W_])[A-Za-z0-9@$!|+](?:{_SEPARATOR}[A-Za-z0-9@$!|+])+{_SEPARATOR}[A-Za-z0-9@$|+](?![^\W_])(?![@$!|+]+[^\W_])"
+_HARD = re.compile(r"[0-9@$!|+][A-Za-z]|[A-Za-z][0-9@$|+]|([A-Za-z])\1\1")
+_APART = re.compile(_RUN)
+_HINT = re.compile(rf"{_HARD.pattern}|{_RUN}")
+_BETWEEN = re.compile(_SEPARATOR)
 _TOKEN = re.compile(r"[^\s]+")
-_HARD = re.compile(r"[0-9@$!|+][A-Za-z]|[A-Za-z][0-9]|([A-Za-z])\1\1")
-_APART = re.compile(r"(?<!\S)[A-Za-z0-9@$!|+]([ ._*-])(?:[A-Za-z0-9@$!|+]\1)+[A-Za-z0-9](?!\S)")
-_EDGE = re.compile(r"^[^A-Za-z0-9@$!|+]+|[^A-Za-z0-9]+$")
+_EDGE = re.compile(r"^[^A-Za-z0-9@$!|+]+|[^A-Za-z0-9@$|+]+$")
+#: Stands for a separator in a run; no token holds it.
+_GAP = "\n"
 #: 0 is a word's edge, 1 to 26 are letters, 27 is any other byte.
 _CODE = np.full(256, 27, np.int64)
 _CODE[97:123] = np.arange(1, 27)
@@ -64,14 +70,23 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 
 def _options(token: str) -> list[list[tuple[str, float]]]:
-    """The lattice of a lower-cased token: for each run of one character, what it may stand for and the cost."""
+    """The lattice of a lower-cased token: for each run of one character, what it may stand for and the cost.
+
+    A gap is nothing or a word's edge (a blank). Signs at the end of a token may also be no letters at all.
+    """
     out, i = [], 0
+    end = len(token) if _GAP in token else len(token.rstrip("@$|+"))
     while i < len(token):
         j = i
         while j < len(token) and token[j] == token[i]:
             j += 1
         c, n = token[i], j - i
+        if c == _GAP:
+            out.append([("", JOIN), (" ", 0.0)])
+            i = j
+            continue
         meant = [(c, 0.0 if c.isalpha() else KEEP)] + [(x, SWAP) for x in DRAWN.get(c, "")]
+        meant += [("", KEEP)] if i >= end else []
         if n < 3:
             out += [meant] * n
         else:
@@ -88,7 +103,9 @@ def decode(token: str, model: np.ndarray) -> str:
         for (a, b), (cost, text) in sorted(states.items()):
             for piece, own in options:
                 x, y, total = a, b, cost + own
-                for c in piece:
+                if piece == " ":
+                    x, y, total = 0, 0, total + float(model[a, b, 0])
+                for c in piece.strip(" "):
                     z = ord(c) - 96 if "a" <= c <= "z" else 27
                     total += float(model[x, y, z])
                     x, y = y, z
@@ -107,7 +124,7 @@ class Restorer:
     def __call__(self, text: str) -> str:
         if not _HINT.search(text):
             return text
-        text = _APART.sub(lambda m: self.read(m[0].replace(m[1], "").lower()), text)
+        text = _APART.sub(lambda m: self.read(_BETWEEN.sub(_GAP, m[0]).lower()) if any(c.isalpha() for c in m[0]) else m[0], text)
         return _TOKEN.sub(lambda m: self._token(m[0]) if _HARD.search(m[0]) else m[0], text)
 
     def _token(self, token: str) -> str:

@@ -270,6 +270,18 @@ def test_restoring():
     assert r("plain text 1234") == "plain text 1234"
 
 
+def test_restoring_of_separated_characters(spark):
+    """Separators are part of the lattice, and signs at the end may be letters."""
+    words_ = "you are a stupid idiot and the man is an ass of a dumbass idia " * 50
+    r = toxicity.Restorer(toxicity.character_model(spark.createDataFrame([(words_,)], "text string")))
+    for text, want in {
+        "i.d.i.o.t.": "idiot.", "i.d.i.o.t,": "idiot,", "(i-d-i-o-t": "(idiot", "i  d  i  o  t": "idiot", "i d i o t,": "idiot,", "i d i o t!": "idiot!", "i-d.i o_t": "idiot", "1 d 1 0 t": "idiot",
+        "y o u i d i o t": "you idiot", "s t u p i d i d i o t": "stupid idiot", "i d i o t a man": "idiot a man", "a man, i d i o t a": "a man, idiot a",
+        "a$$": "ass", "dumba$$,": "dumbass", "idi@": "idia", "1 2 3 4": "1 2 3 4", "the man.": "the man.",
+    }.items():
+        assert r(text) == want, text
+
+
 def test_toxicity_is_learnt(spark):
     rows = [(i, ("kind words here " * 5) + ("stupid" if i % 4 == 0 else "gentle")) for i in range(400)] + [(1000, "some stup1d text")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
