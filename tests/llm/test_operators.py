@@ -311,38 +311,66 @@ def test_packing(spark, docs):
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
 
 
-def test_plan_is_best_fit_decreasing():
+def best_fit_decreasing(lengths, cap):
+    gaps, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= x]
+        if fit:
+            gaps.remove(min(fit))
+            gaps.append(min(fit) - x)
+        else:
+            gaps.append(cap - x)
+            n += 1
+    return n
+
+
+@pytest.mark.parametrize("cap, longest, n", [(10, 10, 200), (100, 100, 300), (2048, 300, 400), (2048, 1, 5000)])
+def test_rounds_pack_like_best_fit_decreasing(spark, monkeypatch, cap, longest, n):
+    """Every row has a place of its own, sequences are gapless, and there are as few as sequential best fit has, or hardly more; ranges are small."""
+    monkeypatch.setattr(packing, "RANGE", 60)
     r = np.random.default_rng(3)
-    for cap in (10, 37, 100):
-        lengths = r.integers(1, cap + 1, 300).tolist()
-        gaps, n = [], 0
-        for x in sorted(lengths, reverse=True):
-            fit = [g for g in gaps if g >= x]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - x)
+    lengths = r.integers(1, longest + 1, n).tolist()
+    rows = [(None if i % 7 == 0 else i % 50, 0, x) for i, x in enumerate(lengths)]  # shared and missing ids
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, piece int, length int"), cap).collect()
+    key = lambda x: (x[0] is None, *map(str, x))
+    assert sorted((tuple(x[:3]) for x in got), key=key) == sorted(rows, key=key)
+    by = {}
+    for x in got:
+        by.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for parts in by.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= cap
+    least = best_fit_decreasing(lengths, cap)
+    assert len(by) <= least + 1 + least // 100 and max(by) == len(by) - 1
+
+
+def test_a_sweep_matches_by_successor():
+    """Levels, slots and new sequences of one round are those of a stack of gaps, piece by piece."""
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        cap = 60
+        lengths = sorted(r.integers(20, 31, int(r.integers(1, 25))).tolist(), reverse=True)
+        gaps = r.integers(1, cap, int(r.integers(0, 25))).tolist()
+        count = lambda xs: {x: xs.count(x) for x in set(xs)}
+        s = packing.Sweep({x: (0, n) for x, n in count(lengths).items()}, count(gaps), cap, True)
+        stack, waiting = [], 0
+        for x, is_piece in sorted([(g, False) for g in gaps if g < lengths[0]] + [(x, True) for x in lengths], key=lambda t: (-t[0], t[1])):
+            if not is_piece:
+                stack.append(x)
+            elif stack:
+                stack.pop()
             else:
-                gaps.append(cap - x)
-                n += 1
-        counts = {x: lengths.count(x) for x in set(lengths)}
-        rows, used, seen = packing.plan(counts, cap), {}, {}
-        for i, (length, rank, fit, first, offset) in enumerate(rows):
-            end = rows[i + 1][1] if i + 1 < len(rows) and rows[i + 1][0] == length else counts[length]
-            for k in range(end - rank):
-                s = first + k // fit
-                used.setdefault(s, []).append((offset + k % fit * length, length))
-            seen[length] = end
-        assert seen == counts and len(used) == n
-        for parts in used.values():
-            parts.sort()
-            assert all(a + b == c for (a, b), (c, _) in zip(parts, parts[1:])) and parts[0][0] == 0 and sum(parts[-1]) <= cap
-
-
-def test_salted_ranks(spark, docs, monkeypatch):
-    monkeypatch.setattr(packing, "RANKED", 40)
-    got = packing.pack_documents(docs, WORD).collect()
-    places = {(r.sequence_id, r.offset) for r in got}
-    assert len(places) == len(got)
+                waiting += 1
+        room = sum(g // lengths[0] for g in gaps if g >= lengths[0])
+        assert s.matched == len(lengths) - waiting and s.in_slots == min(room, waiting)
+        assert s.opened == -(-(waiting - s.in_slots) // (cap // lengths[0])) and not s.left and s.taken == waiting
+
+
+def test_rounds_are_bounded():
+    for cap in (1, 2, 10, 100, 2048, 1 << 20):
+        cuts = packing.bands(cap)
+        assert cuts[0][0] == cap and cuts[-1][1] == 0 and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
+    assert len(packing.bands(packing.CAPACITY)) * packing.REPEATS <= packing.ROUNDS
 
 
 def test_op7(spark, docs):
