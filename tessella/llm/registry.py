@@ -17,4 +17,4 @@ QUERIES = {
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
-ORACLES = {"op1_secrets": secrets.ORACLE, "op2_lm_scoring": lm_scoring.ORACLE}
+ORACLES = {"op1_secrets": secrets.ORACLE, "op2_lm_scoring": lm_scoring.ORACLE, "op10_decontamination": decontaminate.ORACLE}

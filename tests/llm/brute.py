@@ -12,7 +12,7 @@ def contaminated(docs, items, size=10):
     for item, text in items:
         w = split(text)
         for k in range(max(1, len(w) - size + 1) if w else 0):
-            windows.setdefault(tuple(w[k : k + size]), set()).add(str(item))
+            windows.setdefault(tuple(w[k : k + size]), set()).update([] if item is None else [str(item)])
     sizes = {len(x) for x in windows}
     out = []
     for doc, text in docs:
