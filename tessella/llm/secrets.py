@@ -6,17 +6,19 @@ Candidates are hashed, and the corpus counts by how many owners, in how many rep
 * a widely copied value is an example;
 * any other that looks random is a live credential.
 
-Widely copied is what ``WIDE`` or more owners hold: that is the rule of the query, fixed by its SQL. With ``strict``, as in the pipeline,
-both counts decide, and whole copies of a text count once: ``COPIED_OWNERS`` owners or ``COPIED_REPOSITORIES`` repositories, and as many
+Both counts decide what is widely copied, and whole copies of a text count once: ``COPIED_OWNERS`` owners or ``COPIED_REPOSITORIES`` repositories, and as many
 different texts. So a placeholder all over one source is an example, and a secret that a copied document took to a second source is not.
 
 Base spans are always reported, with that verdict; a random-looking token is added (kind ``owned``) only if it is live and touches no base span.
 
 Counting goes by (hash, owner, repository, text), then by fewer of these, then by hash: each step is combined before its shuffle, so a value that
-a third of all rows hold is spread over its owners and repositories first. Documents themselves are never shuffled.
+a third of all rows hold is spread over its owners and repositories first. The counts come back to the spans by a join on the hash; those of
+hashes that ``HOT_ROWS`` spans or more have, few by that bound, are broadcast. Documents themselves are never shuffled.
 
 Null texts are empty. A null owner or repository counts as one unnamed owner or repository. Repeated rows are
-scanned each and count as one repository. Spans are in code points, the end exclusive; a span is the whole match.
+scanned each and count as one repository. Rows without a doc_id are scanned like others. In a very long text every match is found; places are added
+up by chunks. Spans that begin at one place are in the order of their kinds. Spans are in code points, the end exclusive; a span is the whole match.
+An empty table gives no rows. ``redact`` passes columns of any name on as they are; the rest reads only what it names.
 """
 
 from __future__ import annotations
@@ -33,10 +35,12 @@ KINDS = (
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-#: Owners from which on a value is a copied example; distinct characters that a random-looking value has at least.
-WIDE, DISTINCT = 2, 10
-#: The strict rule: owners, or else repositories, from which on a value is widely copied.
+#: Distinct characters that a random-looking value has at least.
+DISTINCT = 10
+#: Owners, or else repositories, from which on a value is widely copied.
 COPIED_OWNERS, COPIED_REPOSITORIES = 5, 100
+#: Spans from which on the counts of a hash are broadcast: at most one hash in so many spans.
+HOT_ROWS = 100_000
 #: Matches of one text whose places are found together.
 CHUNK = 256
 
@@ -112,32 +116,38 @@ def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """h, n_owners, n_repositories, n_texts: how the corpus holds each candidate hash; ``found`` has h, owner, repository, text_h."""
-    once = found.groupBy("h", "owner", "repository", "text_h").agg(F.lit(1).alias("one"))
-    owners = once.groupBy("h", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("h", "owner").agg(F.count(F.lit(1)).alias("n"))
+    """h, n_rows, n_owners, n_repositories, n_texts: how the corpus holds each candidate hash; ``found`` has h, owner, repository, text_h."""
+    once = found.groupBy("h", "owner", "repository", "text_h").agg(F.count(F.lit(1)).alias("n"))
+    owners = once.groupBy("h", "owner", "repository").agg(F.sum("n").alias("n")).groupBy("h", "owner").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     texts = once.groupBy("h", "text_h").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n_texts"))
-    return owners.groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories")).join(texts, "h")
+    return owners.groupBy("h").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_owners"), F.sum("k").alias("n_repositories")).join(texts, "h")
 
 
 _COUNTS = ("n_owners", "n_repositories", "n_texts")
 _VERDICTS = "array<struct<start:int,rank:int,end:int,kind:string,verdict:string,n_owners:bigint,n_repositories:bigint,n_texts:bigint>>"
 
 
-def _wide(strict: bool) -> Column:
-    if not strict:
-        return F.col("n_owners") >= WIDE
-    return (F.least("n_owners", "n_texts") >= COPIED_OWNERS) | (F.least("n_repositories", "n_texts") >= COPIED_REPOSITORIES)
+def _counted(rows: DataFrame) -> DataFrame:
+    """``rows`` with the counts of their hash."""
+    counts = materialize(ownership(rows), "counts")
+    hot = counts.where(F.col("n_rows") >= HOT_ROWS)
+    side = hot.select("h", *_COUNTS)
+    if not hot.limit(1).count():
+        return rows.join(counts.select("h", *_COUNTS), "h")
+    cold = rows.join(F.broadcast(side.select("h")), "h", "left_anti").join(counts.where(F.col("n_rows") < HOT_ROWS).select("h", *_COUNTS), "h")
+    return rows.join(F.broadcast(side), "h").unionByName(cold)
 
 
-def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_id", strict: bool = False) -> DataFrame:
+def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_id", owners: int = COPIED_OWNERS, repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """For each row of ``docs``: doc_id, text_h and spans, array<struct<start, rank, end, kind, verdict, and the counts>> in order.
 
     verdict: ``example`` (widely copied), ``live`` (looks random) or ``owner-specific`` (the rest).
     """
     scan = materialize(candidates(docs, owner, repository), "candidates")
     rows = scan.where(F.size("spans") > 0).select("_row", "doc_id", "owner", "repository", "text_h", F.explode("spans").alias("s")).withColumn("h", F.xxhash64("s.value"))
-    verdict = F.when(_wide(strict), "example").when(_random_looking(F.col("s.value")), "live").otherwise("owner-specific")
-    judged = rows.join(ownership(rows), "h").withColumn("verdict", verdict).where((F.col("s.kind") != "owned") | (F.col("verdict") == "live"))
+    wide = (F.least("n_owners", "n_texts") >= owners) | (F.least("n_repositories", "n_texts") >= repositories)
+    verdict = F.when(wide, "example").when(_random_looking(F.col("s.value")), "live").otherwise("owner-specific")
+    judged = _counted(rows).withColumn("verdict", verdict).where((F.col("s.kind") != "owned") | (F.col("verdict") == "live"))
     span = F.struct("s.start", "s.rank", "s.end", "s.kind", "verdict", *_COUNTS)
     some = judged.groupBy("_row", "doc_id", "text_h").agg(F.sort_array(F.collect_list(span)).alias("spans")).select("_row", "doc_id", "text_h", F.col("spans").cast(_VERDICTS).alias("spans"))
     # texts whose only candidates were tokens that came to nothing, and those without any
@@ -153,7 +163,7 @@ def _count(field: str, value: str) -> Column:
     return F.size(F.filter("spans", lambda s: s[field] == value)).cast("bigint").alias(f"n_{value}")
 
 
-def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mark: str = "[SECRET]", strict: bool = False) -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mark: str = "[SECRET]", owners: int = COPIED_OWNERS, repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """``docs`` with every span that is not a widely copied example replaced by ``mark``, and n_chars to match.
 
     Only texts that may hold a secret are joined with their spans (by doc_id and text); the others pass as they are.
@@ -163,7 +173,7 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", m
     may = F.lit(False)
     for pattern in (*(k[1] for k in KINDS), TOKEN):
         may = may | F.regexp_like(text_of(), F.lit(pattern))
-    found = secret_spans(docs.where(may), owner, repository, strict).select("doc_id", "text_h", F.filter("spans", lambda s: s["verdict"] != "example").alias("spans"))
+    found = secret_spans(docs.where(may), owner, repository, owners, repositories).select("doc_id", "text_h", F.filter("spans", lambda s: s["verdict"] != "example").alias("spans"))
     found = found.where(F.size("spans") > 0).groupBy(F.col("doc_id").alias(key), F.col("text_h").alias(same)).agg(F.first("spans").alias(own))
     hold = docs.where(may).join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)) & (F.xxhash64(text_of()) == F.col(same)), "left")
     # each step appends what lies before the next span, unless that begins inside the last one
@@ -186,21 +196,22 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", m
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document; a source is an owner, a document its repository."""
+    """Secrets of every document; a source is an owner, a document its repository. held_by has owners/repositories/texts of each span."""
     found = secret_spans(keyed(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
     base = F.filter("spans", lambda s: s["kind"] != "owned")
     number = [_count("kind", k[0]) for k in KINDS]
     verdict = [_count("verdict", v) for v in ("live", "example")]
-    return found.select("doc_id", *number, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), *verdict)
+    held = F.array_join(F.transform("spans", lambda s: F.concat_ws("/", *[s[c].cast("string") for c in _COUNTS])), ",")
+    return found.select("doc_id", *number, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), *verdict, held.alias("held_by"))
 
 
 def _duck_spans(kind: str, pattern: str, group: int, least: int, rank: int) -> str:
     p = pattern.replace("'", "''")
     return f"""
-  SELECT doc_id, source, t.i AS i, '{kind}' AS kind, {rank} AS rank, v[t.i] AS value,
+  SELECT doc_id, source, text, t.i AS i, '{kind}' AS kind, {rank} AS rank, v[t.i] AS value,
          CAST(list_sum(list_transform(b[1:t.i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:t.i - 1], lambda x: length(x))), 0) AS INTEGER) AS s,
          length(f[t.i]) AS n
-  FROM (SELECT doc_id, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '{p}', 0) AS f,
+  FROM (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{p}', 0) AS f,
                regexp_extract_all(coalesce(text, ''), '{p}', {group}) AS v, string_split_regex(coalesce(text, ''), '{p}') AS b
         FROM documents WHERE regexp_matches(coalesce(text, ''), '{p}')) m, range(1, len(f) + 1) t(i)
   WHERE length(v[t.i]) >= {least}"""
@@ -213,16 +224,16 @@ token AS ({_duck_spans("owned", TOKEN, 0, 20, len(KINDS))}),
 free AS (SELECT * FROM token t WHERE {_LOOKS} AND NOT EXISTS
   (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.s < t.s + t.n AND t.s < b.s + b.n)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM free),
-owners AS (SELECT value, count(DISTINCT source) AS n_owners FROM every GROUP BY value),
-judged AS (SELECT e.doc_id, e.kind, e.rank, e.s, e.n,
-    CASE WHEN n_owners >= {WIDE} THEN 'example' WHEN {_LOOKS.replace("value", "e.value")} THEN 'live' ELSE 'owner-specific' END AS verdict
+owners AS (SELECT value, count(DISTINCT source) AS n_owners, count(DISTINCT (source, doc_id)) AS n_repositories, count(DISTINCT text) AS n_texts FROM every GROUP BY value),
+judged AS (SELECT e.doc_id, e.kind, e.rank, e.s, e.n, n_owners || '/' || n_repositories || '/' || n_texts AS held,
+    CASE WHEN least(n_owners, n_texts) >= {COPIED_OWNERS} OR least(n_repositories, n_texts) >= {COPIED_REPOSITORIES} THEN 'example' WHEN {_LOOKS.replace("value", "e.value")} THEN 'live' ELSE 'owner-specific' END AS verdict
   FROM every e JOIN owners USING (value)),
 kept AS (SELECT *, kind || ':' || s || ':' || (s + n) AS name FROM judged WHERE kind <> 'owned' OR verdict = 'live'),
 sums AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
     count(*) FILTER (WHERE kind = 'hex') AS n_hex, string_agg(name, ',' ORDER BY s, rank) FILTER (WHERE kind <> 'owned') AS base,
-    string_agg(name, ',' ORDER BY s, rank) AS spans, count(*) FILTER (WHERE verdict = 'live') AS n_live,
+    string_agg(name, ',' ORDER BY s, rank) AS spans, string_agg(held, ',' ORDER BY s, rank) AS held_by, count(*) FILTER (WHERE verdict = 'live') AS n_live,
     count(*) FILTER (WHERE verdict = 'example') AS n_example FROM kept GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(held_by, '') AS held_by
 FROM documents d LEFT JOIN sums USING (doc_id)
 """

@@ -140,16 +140,18 @@ def test_ownership(spark):
     live, wide = "Zk3Jq9Xw7Lm2Pv5Rt8Ny", "Ab1Cd2Ef3Gh4Ij5Kl6Mn"
     rows = [(1, f"see {live} here", "a"), (2, f"é token = {wide}", "a"), (3, f"token={wide}", "b"), (4, "token=secret: abcdefghijklmnop", "b")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    got = {r.doc_id: [(s.kind, s.start, s.end, s.verdict) for s in r.spans] for r in secrets.secret_spans(d).collect()}
+    got = {r.doc_id: [(s.kind, s.start, s.end, s.verdict) for s in r.spans] for r in secrets.secret_spans(d, owners=2).collect()}
     assert got[1] == [("owned", 4, 24, "live")]
     assert got[2] == [("assign", 2, 30, "example")] and got[3] == [("assign", 0, 26, "example")]
     assert got[4] == []  # the short match is dropped, and nothing inside it is looked for again
-    assert {r.doc_id: r.text for r in secrets.redact(d).collect()} == {1: "see [SECRET] here", 2: rows[1][1], 3: rows[2][1], 4: rows[3][1]}
+    assert {r.doc_id: r.text for r in secrets.redact(d, owners=2).collect()} == {1: "see [SECRET] here", 2: rows[1][1], 3: rows[2][1], 4: rows[3][1]}
 
 
-def test_strict_ownership(spark):
-    """Both counts decide in the pipeline: what one source repeats everywhere stays, what copies took to other sources goes."""
+@pytest.mark.parametrize("hot", [secrets.HOT_ROWS, 3])
+def test_strict_ownership(spark, monkeypatch, hot):
+    """Both counts decide: what one source repeats everywhere stays, what copies took to other sources goes."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(secrets, "HOT_ROWS", hot)
     path, copied, shared = "Zk3Jq9Xw7Lm2Pv5Rt8Ny", "Ab1Cd2Ef3Gh4Ij5Kl6Mn", "Qw9Er8Ty7Ui6Op5As4Df"
     rows = [(i, f"text {i} at {path}", "hot") for i in range(secrets.COPIED_REPOSITORIES)]
     rows += [(1000 + i, f"the same text, token={copied}", f"s{i}") for i in range(secrets.COPIED_OWNERS)]
@@ -160,7 +162,7 @@ def test_strict_ownership(spark):
     want = [t if copied not in t and not t.startswith(("no id", "é")) else t.replace(f"token={copied}", "[SECRET]") for _, t, _ in rows]
     want = [re.sub("^(no id, |é )token=.*", r"\1[SECRET]", t) for t in want]
     assert got == sorted(want)
-    spans = {r.doc_id: [(s.n_owners, s.n_repositories, s.n_texts) for s in r.spans] for r in secrets.secret_spans(d, strict=True).collect()}
+    spans = {r.doc_id: [(s.n_owners, s.n_repositories, s.n_texts) for s in r.spans] for r in secrets.secret_spans(d).collect()}
     assert spans[0] == [] and spans[1000] == [(secrets.COPIED_OWNERS, secrets.COPIED_OWNERS + 1, 2)]
 
 
