@@ -38,7 +38,7 @@ RANGE = 50_000
 #: Sweeps of one band before it opens sequences for all that is left; share of sequences that may be opened beyond the least possible.
 REPEATS, SPARE = 4, 0.01
 #: Most rounds there can be at the default capacity: bands times repeats.
-ROUNDS = 68
+ROUNDS = 56
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -62,21 +62,24 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
 
 
 def bands(capacity: int) -> list[tuple[int, int]]:
-    """(longest, next band's longest): up to the eighth part of the capacity by how many fit a sequence, then by a factor."""
-    cuts = [capacity // j for j in range(1, 9)]
+    """(longest, next band's longest): up to the sixth part of the capacity by how many fit a sequence, then by a factor."""
+    cuts = [capacity // j for j in range(1, 7)]
     while cuts[-1] > 1:
-        cuts.append(int(cuts[-1] * (0.7 if cuts[-1] > 64 else 0.5)))
+        cuts.append(int(cuts[-1] * (0.6 if cuts[-1] > capacity // 32 else 0.4)))
     return list(pairwise([*dict.fromkeys(c for c in cuts if c > 0), 0]))
 
 
 class Sorted:
-    """Rows range-sorted by ``size``, as a written table in which _id tells range and place, and the sums of each (range, size)."""
+    """Rows range-sorted by ``size``, as a written table in which _id tells range and place, and the sums of each (range, size) above 0."""
 
     def __init__(self, rows: DataFrame, n_rows: int, order: list[Column], name: str):
         parts = 1 + n_rows // RANGE
         rows = rows.repartitionByRange(parts, "size", *order) if parts > 1 else rows.coalesce(1)
-        self.rows = materialize(rows.sortWithinPartitions("size", *order).withColumn("_id", F.monotonically_increasing_id()), name)
-        sums = self.rows.groupBy(F.shiftright("_id", 33).alias("part"), "size").agg(F.count(F.lit(1)), F.min("_id")).collect()
+        rows = rows.sortWithinPartitions("size", *order).withColumn("_id", F.monotonically_increasing_id())
+        self.path = scratch(rows.sparkSession, name)
+        rows.write.parquet(self.path)
+        self.rows = rows.sparkSession.read.schema(rows.schema).parquet(self.path)
+        sums = self.rows.where("size > 0").groupBy(F.shiftright("_id", 33).alias("part"), "size").agg(F.count(F.lit(1)), F.min("_id")).collect()
         self.counts: dict[int, int] = {}
         self.offsets: list[tuple[int, int, int]] = []
         for part, size, n, least in sorted(tuple(r) for r in sums):
@@ -88,7 +91,7 @@ class Sorted:
         said = [(part, size, offset, *by_size[size]) for part, size, offset in self.offsets if size in by_size]
         columns = ("_part", "_size", "_offset", *names)
         said = self.rows.sparkSession.createDataFrame(pa.table({n: pa.array([x[k] for x in said], pa.int64()) for k, n in enumerate(columns)}))
-        rows = self.rows.where(F.col("size").between(min(by_size), max(by_size))) if how == "inner" else self.rows  # ranges are sorted, so others aren't read
+        rows = self.rows.where(F.col("size").between(min(by_size), max(by_size))) if how == "inner" else self.rows.where("size > 0")  # ranges are sorted, so others aren't read
         here = (F.shiftright("_id", 33) == F.col("_part")) & (F.col("size") == F.col("_size"))
         return rows.join(F.broadcast(said), here, how).selectExpr("*", "_id + _offset AS _rank")
 
@@ -141,7 +144,7 @@ class Sweep:
 
 
 def _round(pieces_: Sorted, gaps: Sorted | None, s: Sweep, sequences: int, capacity: int, names: list[str], kind: str) -> DataFrame:
-    """Pieces that find a place: ``names`` as _row (of type ``kind``), sequence_id and offset; and all gaps, without a _row: sequence_id and the size that is left."""
+    """Pieces that find a place: ``names`` as _row (of type ``kind``), sequence_id and offset, with size -1; and all gaps, without a _row: sequence_id and the size that is left."""
     spark = pieces_.rows.sparkSession
     # a gap's key is its level, negative, or each of its slots
     slots = "_key[0] <= _key[1] THEN sequence(_key[0], _key[1])"
@@ -160,7 +163,7 @@ def _round(pieces_: Sorted, gaps: Sorted | None, s: Sweep, sequences: int, capac
     left = room.selectExpr("sequence_id", "size AS gap", f"{1 << 62}L AS _key", "0L AS size", f"CAST(NULL AS {kind}) AS _row")
     both = placed.selectExpr("_place.sequence_id", "_place.gap", "_key", "size", "_row").unionAll(left)
     both = both.selectExpr("*", "coalesce(sum(size) OVER (PARTITION BY sequence_id ORDER BY _key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS _used")
-    return both.selectExpr("_row", "sequence_id", f"{capacity} - gap + _used AS offset", "gap - _used AS size")
+    return both.selectExpr("_row", "sequence_id", f"{capacity} - gap + _used AS offset", "if(_row IS NULL, gap - _used, -1L) AS size")
 
 
 def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -172,7 +175,7 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if not 1 <= s.a <= s.b <= capacity:
         raise ValueError(f"lengths must be from 1 to {capacity}")
     whole = Sorted(lengths.withColumn("size", F.col("length").cast("bigint")), s.n, [F.xxhash64("doc_id", "piece")], "sorted")
-    gaps, sequences, paths, schema = None, 0, [], None
+    gaps, sequences, paths = None, 0, []
     for high, low in bands(capacity):
         left = {size: (0, n) for size, n in whole.counts.items() if low < size <= high}
         repeat = 0
@@ -180,14 +183,10 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             repeat += 1
             sweep = Sweep(left, gaps.counts if gaps else {}, capacity, repeat >= REPEATS)
             done = _round(whole, gaps, sweep, sequences, capacity, names, kind)
-            paths.append(scratch(spark, "round"))
-            done.write.parquet(paths[-1])
-            schema = done.schema
             sequences, left = sequences + sweep.opened, sweep.left
-            if left or s.a <= low:  # there is more to come
-                rest = spark.read.schema(schema).parquet(paths[-1]).where(F.col("_row").isNull() & (F.col("size") >= s.a)).select("size", "sequence_id")
-                gaps = Sorted(rest, min(sequences, s.n), [F.xxhash64("sequence_id")], "gaps")
-    return spark.read.schema(schema).parquet(*paths).where("_row is not null").select("_row.*", "sequence_id", "offset")
+            gaps = Sorted(done, min(s.n, sequences + sum(n for size, n in whole.counts.items() if low < size <= high)), [F.xxhash64("sequence_id")], "round")
+            paths.append(gaps.path)
+    return spark.read.schema(gaps.rows.schema).parquet(*paths).where("_row is not null").select("_row.*", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
