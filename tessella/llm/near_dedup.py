@@ -8,15 +8,18 @@
    hubs (the least and the greatest id): no pairs within a group are made.
 4. Candidate pairs whose likelihood, given both sizes and how many registers are larger, smaller or equal, peaks well under the
    threshold are dropped (``SLACK`` is over four standard errors); the rest are verified on the full sets.
-5. Components of the verified links. Then, in each bucket, the members that are not in its largest component are compared with all
-   members of other components, which is what the hubs may have left open. The comparison runs inside groups of two blocks of
-   bounded size (a large bucket has many blocks), each pair in the first band that it shares; groups give out members and links, never pairs.
+5. Components of the verified links. What hubs may have left open are pairs of different components in a bucket of more than three. Such members
+   get new hubs, one of their bucket's largest component and one of the rest, in each of ``HUB_ROUNDS`` rounds (fewer if one finds no link).
+6. What is still open is compared exactly: in each bucket, the members that are not in its largest component with all members of other
+   components whose set size allows a link, inside cells of two neighbouring classes of size and groups of two blocks of bounded size, each pair in the
+   first band that it shares; groups give out members and links, never pairs.
 
 A pair at the threshold itself misses all bands with probability (1 - 0.8 ** 4) ** 32, under 1e-7.
 
 Null texts and texts without words have an empty set and are linked with nothing. Each row of the input is returned, also where
-rows share a doc_id (their texts are compared like any others); a null doc_id never names a component that has another. An
-empty table gives no rows. Nodes are told apart by 64 bits: in 10**10 different texts, under three pairs share an id.
+rows share a doc_id (their texts are compared like any others); a null doc_id never names a component that has another. Ties have no
+part: components do not depend on the order of rows. A very long text is sketched in steps; its set is one array. An empty table gives no rows; other
+columns are passed on by ``keep_first`` and not read elsewhere, so their names can't clash. Nodes are told apart by 64 bits: in 10**10 different texts, under three pairs share an id.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from .textvec import U64, grams, mix, sequence_hash, words
 
 REGISTERS, ROWS_IN_BAND, BASE = 128, 4, 1.02
 SLACK = 0.15
+#: Rounds of new hubs for open members.
+HUB_ROUNDS = 2
 #: Members and shingles of one block of a bucket.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 2000, 2_000_000
 #: Shingles sketched at once, so that memory does not grow with the text.
@@ -158,7 +163,12 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int
     return materialize(pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(exact, "a bigint, b bigint"), "links")
 
 
-_GROUP = "key bigint, i int, j int, id bigint, n bigint, c bigint, block int, sketch binary"
+_GROUP = "key bigint, cell int, i int, j int, id bigint, n bigint, c bigint, block int, sketch binary"
+
+
+def _size_class(n, percent: int):
+    """Sets whose classes differ by more than one can't be linked."""
+    return np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int32)
 
 
 def _open_pairs(t: pa.Table, percent: int):
@@ -166,7 +176,8 @@ def _open_pairs(t: pa.Table, percent: int):
     n, c, block = (t.column(k).to_numpy() for k in ("n", "c", "block"))
     own = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
     bands = own.view(np.uint64)
-    i, j, key = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("key")[0].as_py()
+    i, j, key, cell = (t.column(k)[0].as_py() for k in ("i", "j", "key", "cell"))
+    size = _size_class(n, percent)
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     found = []
     seeds = np.arange(bands.shape[1], dtype=np.uint64)
@@ -174,7 +185,7 @@ def _open_pairs(t: pa.Table, percent: int):
     band = int(np.flatnonzero((keys == np.int64(key).astype(np.uint64)).any(axis=0))[0])
     for x in left.tolist():
         y = right[right > x] if i == j else right
-        y = y[(c[y] != c[x]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))]
+        y = y[(c[y] != c[x]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (np.minimum(size[x], size[y]) == cell)]
         if not len(y):
             continue
         y = y[(bands[y] == bands[x]).argmax(axis=1) == band]
@@ -190,28 +201,51 @@ def _open_pairs(t: pa.Table, percent: int):
     return pairs[:, order[100 * (likely[order] + SLACK) >= percent]].T
 
 
-def _across(shared: DataFrame, label: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Verified links between members of one bucket that belong to different components."""
-    named = shared.select("key", "id", "n").join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    each = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
-    sums = each.groupBy("key").agg(F.max(F.struct("m", "c", "s")).alias("t"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("m"), F.sum("s").alias("s")).where("k > 1")
+def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """key, id, n, c and top of the members of buckets that hubs may have left open; c is the component, top the bucket's largest."""
+    named = shared.where("size > 3").select("key", "id", "n").join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    each = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    top = each.groupBy("key").agg(F.max(F.struct("m", "c")).alias("t"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("t.c").alias("top"))
+    return materialize(named.join(top, "key"), "open")
+
+
+def _new_hubs(open_: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Pairs (a, b): each member outside its bucket's largest component with a hub in it and one outside, where these are of another component."""
+    order = F.struct(F.xxhash64("id", F.lit(seed)).alias("order"), "id", "c", "n")
+    outside = F.col("c") != F.col("top")
+    hubs = open_.groupBy("key").agg(F.min(F.when(outside, order)).alias("x"), F.min(F.when(~outside, order)).alias("y"))
+    pairs = open_.where(outside).join(hubs, "key").select("id", "c", "n", F.explode(F.array("x", "y")).alias("hub"))
+    close = 100 * F.least("n", F.col("hub.n")) >= percent * F.greatest("n", F.col("hub.n"))
+    return pairs.where((F.col("c") != F.col("hub.c")) & close).select(F.least("id", F.col("hub.id")).alias("a"), F.greatest("id", F.col("hub.id")).alias("b")).distinct()
+
+
+def _across(open_: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Verified links between open members of one bucket that belong to different components."""
 
     def blocks_for(m, s):
         return F.ceil(F.greatest(m / BLOCK_MEMBERS, s / BLOCK_SHINGLES)).cast("int")
 
-    top = sums.select("key", F.col("t.c").alias("top"), blocks_for(F.col("m") - F.col("t.m"), F.col("s") - F.col("t.s")).alias("rest"), blocks_for(F.col("t.m"), F.col("t.s")).alias("main"))
-    mixed = named.join(top, "key")
+    # a pair of sizes that allow a link is compared in the cell of the smaller one's class
+    own = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent) + 1e-9).cast("int")
+    cells = open_.withColumn("own", own).withColumn("cell", F.explode(F.array(F.col("own"), F.col("own") - 1)))
     outside = F.col("c") != F.col("top")
+
+    def sums(of, x):
+        return F.sum(F.when(of, F.lit(x) if isinstance(x, int) else F.col(x)).otherwise(0))
+
+    sizes = cells.groupBy("key", "cell").agg(blocks_for(sums(outside, 1), sums(outside, "n")).alias("rest"), blocks_for(sums(~outside, 1), sums(~outside, "n")).alias("main"), F.min("own").alias("least"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    sizes = sizes.where("rest > 0 AND least = cell AND c0 <> c1").select("key", "cell", "rest", "main")
+    mixed = cells.join(sizes, ["key", "cell"])
     place = F.xxhash64("id")
-    mixed = mixed.withColumn("block", F.when(outside, F.pmod(place, "rest")).otherwise(F.col("rest") + F.pmod(place, "main")).cast("int"))
+    mixed = mixed.withColumn("block", F.when(outside, F.pmod(place, "rest")).otherwise(F.col("rest") + F.pmod(place, F.greatest("main", F.lit(1)))).cast("int"))
     mixed = mixed.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(outside, F.col("rest") + F.col("main") - 1).otherwise(F.col("rest") - 1))))
-    mixed = mixed.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "id", "n", "c", "block")
-    mixed = mixed.join(classes.select("id", "sketch"), "id").select("key", "i", "j", "id", "n", "c", "block", "sketch")
+    mixed = mixed.select("key", "cell", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "id", "n", "c", "block")
+    mixed = mixed.join(classes.select("id", "sketch"), "id").select("key", "cell", "i", "j", "id", "n", "c", "block", "sketch")
 
     def open_members(t: pa.Table) -> pa.Table:
         return t.take(pa.array(np.unique(_open_pairs(t, percent))))
 
-    hopeful = materialize(mixed.groupBy("key", "i", "j").applyInArrow(open_members, _GROUP), "open")
+    hopeful = materialize(mixed.groupBy("key", "cell", "i", "j").applyInArrow(open_members, _GROUP), "hopeful")
 
     def link(t: pa.Table) -> pa.Table:
         ids, c = t.column("id").to_pylist(), t.column("c").to_pylist()
@@ -233,7 +267,7 @@ def _across(shared: DataFrame, label: DataFrame, classes: DataFrame, texts: Data
                     out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
 
-    return materialize(hopeful.join(texts, "id").select("key", "i", "j", "id", "n", "c", "block", "sketch", "text").groupBy("key", "i", "j").applyInArrow(link, "a bigint, b bigint"), "across")
+    return materialize(hopeful.join(texts, "id").select("key", "cell", "i", "j", "id", "n", "c", "block", "sketch", "text").groupBy("key", "cell", "i", "j").applyInArrow(link, "a bigint, b bigint"), "across")
 
 
 def _found(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -246,7 +280,7 @@ def _found(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = sig.where("k1 is not null").groupBy("k1", "k2").agg(F.min("h").alias("id"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
     bands = _bands(classes)
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("size > 1").drop("size")
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("size > 1")
     shared = materialize(bands.join(buckets, "key"), "bands")
     hubs = shared.select("id", F.explode(F.array("lo", "hi")).alias("hub")).where("id <> hub")
     tested = materialize(hubs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
@@ -254,7 +288,16 @@ def _found(docs: DataFrame, size: int, percent: int) -> DataFrame:
     texts = docs.select(F.col("h").alias("id"), "text").join(in_buckets, "id", "left_semi").dropDuplicates(["id"])
     links = _verified(tested, classes, texts, size, percent)
     label = components(links)
-    links = links.unionByName(_across(shared, label, classes, texts, size, percent))
+    for seed in range(HUB_ROUNDS):
+        open_ = _open(shared, label)
+        new = _verified(_new_hubs(open_, seed, percent).join(tested, ["a", "b"], "left_anti"), classes, texts, size, percent)
+        if not new.limit(1).count():
+            break
+        links = links.unionByName(new)
+        label = components(links)
+    else:
+        open_ = _open(shared, label)
+    links = links.unionByName(_across(open_, classes, texts, size, percent))
     label = components(links)
     named = classes.select("k1", "k2", "id", "least").join(label.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "least", F.coalesce("component", "id").alias("c"))
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
