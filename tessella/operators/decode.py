@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,24 +41,39 @@ def rotate90(code: Column, nbits: int) -> Column:
     return F.shiftleft(turned, 1).bitwiseOR(code.bitwiseAND(F.lit(1).cast("bigint"))) if odd else turned
 
 
+#: Correctable words that may be broadcast (16 bytes each); beyond, the words are joined by a shuffle.
+BROADCAST_WORDS = 1_000_000
+
+
+def correctable(spark: SparkSession, name: str, max_hamming: int) -> DataFrame:
+    """(word, id, hamming) of every word within ``max_hamming`` wrong bits of a code word, with the least such id: a fixed table of the family."""
+    f = fam.family(name)
+    masks = [sum(1 << b for b in bits) for k in range(max_hamming + 1) for bits in combinations(range(f.nbits), k)]
+    codes, masks = np.array(f.codes, np.int64), np.array(masks, np.int64)
+    words, first = np.unique((codes[:, None] ^ masks[None, :]).ravel(), return_index=True)
+    ids = (first // len(masks)).astype(np.int32)
+    wrong = np.bitwise_count(masks)[first % len(masks)].astype(np.int32)
+    return spark.createDataFrame(pa.table({"word": words, "id": ids, "hamming": wrong}))
+
+
 def lookup(words: DataFrame, name: str, max_hamming: int = 2) -> DataFrame:
     """Identity of each row with ``rcode``: the first rotation, then the least id, within ``max_hamming`` wrong bits.
 
-    Adds id, hamming and rotation; rows without one drop out. The code words are a fixed table of the family, so they
-    are broadcast, and wrong bits are counted directly instead of storing every correctable word.
+    Adds id, hamming and rotation; rows without one drop out, equal rows stay. Each rotation is looked up by a hash join with
+    the family's correctable words.
     """
     if max_hamming > 3:
         raise ValueError("at most 3 wrong bits can be corrected")
     f = fam.family(name)
-    turned = [F.col("rcode")]
-    for _ in range(3):
-        turned.append(rotate90(turned[-1], f.nbits))
-    codes = F.broadcast(fam.family_codes(words.sparkSession, (name,)).select("id", "code"))
-    rows = words.select("*", F.posexplode(F.array(*turned)).alias("rotation", "_turned"))
-    wrong = F.bit_count(F.col("_turned").bitwiseXOR(F.col("code")))
-    hit = rows.join(codes, wrong <= max_hamming).withColumn("hamming", wrong.cast("int"))
-    best = F.min(F.struct("rotation", "id", "hamming"))
-    return hit.groupBy(*words.columns).agg(best.alias("b")).select(*words.columns, "b.id", "b.hamming", "b.rotation")
+    known = correctable(words.sparkSession, name, max_hamming)
+    each = sum(math.comb(f.nbits, k) for k in range(max_hamming + 1))
+    names, rows, turned, found = words.columns, words, F.col("rcode"), []
+    for r in range(4):
+        side = known.select(F.col("word").alias(f"_word{r}"), F.struct("id", "hamming", F.lit(r).alias("rotation")).alias(f"_found{r}"))
+        side = F.broadcast(side) if len(f.codes) * each <= BROADCAST_WORDS else side
+        rows = rows.join(side, turned == F.col(f"_word{r}"), "left")
+        turned, found = rotate90(turned, f.nbits), [*found, F.col(f"_found{r}")]
+    return rows.select(*names, F.coalesce(*found).alias("_b")).where("_b is not null").select(*names, "_b.id", "_b.hamming", "_b.rotation")
 
 
 def gray_model(samples: DataFrame, key: list[str]) -> DataFrame:

@@ -364,27 +364,30 @@ def gray_model_fit(spark, sf_dir):
 
 
 def bits(spark, sf_dir):
-    return matrix(spark, sf_dir).where("x < 16").select("y", F.col("x").alias("bit_idx"), (F.col("v") - 127.5).alias("v"))
+    """Four words of 16 bits in each row."""
+    return matrix(spark, sf_dir).select("y", F.expr("x div 16").alias("word"), (F.col("x") % 16).alias("bit_idx"), (F.col("v") - 127.5).alias("v"))
 
 
-_BITVALUES = f"{PX}, bv AS (SELECT y, x AS i, v - CAST(127.5 AS DOUBLE) AS v FROM px WHERE x < 16)"
+_BITVALUES = f"{PX}, bv AS (SELECT y, CAST(x // 16 AS BIGINT) AS word, x % 16 AS i, v - CAST(127.5 AS DOUBLE) AS v FROM px)"
 
 
-@query(f"WITH {_BITVALUES} SELECT y, round(least(coalesce(sum(v) FILTER (WHERE v > 0), 0) / (1 + count(*) FILTER (WHERE v > 0)), coalesce(sum(-v) FILTER (WHERE v <= 0), 0) / (1 + count(*) FILTER (WHERE v <= 0))), 6) AS margin FROM bv GROUP BY y")
+@query(f"WITH {_BITVALUES} SELECT y, word, round(least(coalesce(sum(v) FILTER (WHERE v > 0), 0) / (1 + count(*) FILTER (WHERE v > 0)), coalesce(sum(-v) FILTER (WHERE v <= 0), 0) / (1 + count(*) FILTER (WHERE v <= 0))), 6) AS margin FROM bv GROUP BY y, word")
 def decision_margin(spark, sf_dir):
-    return decode.margin(bits(spark, sf_dir), ["y"]).select("y", F.round("margin", 6).alias("margin"))
+    return decode.margin(bits(spark, sf_dir), ["y", "word"]).select("y", "word", F.round("margin", 6).alias("margin"))
 
 
-@query(f"WITH {_BITVALUES} SELECT y, CAST(sum(CASE WHEN v > 0 THEN CAST(1 AS BIGINT) << (15 - i) ELSE 0 END) AS BIGINT) AS rcode FROM bv GROUP BY y")
+@query(f"WITH {_BITVALUES} SELECT y, word, CAST(sum(CASE WHEN v > 0 THEN CAST(1 AS BIGINT) << (15 - i) ELSE 0 END) AS BIGINT) AS rcode FROM bv GROUP BY y, word")
 def code_word(spark, sf_dir):
-    return decode.code_word(bits(spark, sf_dir), ["y"], 16)
+    return decode.code_word(bits(spark, sf_dir), ["y", "word"], 16)
 
 
-@query("""WITH v AS (SELECT vec_id // 10 AS quad, CAST(vec_id % 10 AS INTEGER) AS y, CAST(i - 1 AS INTEGER) AS x, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 9) t(i))
-SELECT CAST(a.quad AS BIGINT) AS quad, a.y, a.x, round(a.v + 0.25 * (4 * a.v - coalesce(sum(b.v), 0)), 6) AS v FROM v a LEFT JOIN v b ON a.quad = b.quad AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY a.quad, a.y, a.x, a.v""")
+@query("""WITH v AS (SELECT vec_id AS quad, CAST((i - 1) // 8 AS INTEGER) AS y, CAST((i - 1) % 8 AS INTEGER) AS x, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i))
+SELECT a.quad, a.y, a.x, round(a.v + 0.25 * (4 * a.v - coalesce(sum(b.v), 0)), 6) AS v FROM v a LEFT JOIN v b ON a.quad = b.quad AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY a.quad, a.y, a.x, a.v""")
 def sharpen(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 10").alias("quad"), (F.col("vec_id") % 10).cast("int").alias("y"), F.posexplode(F.slice("embedding", 1, 8)).alias("x", "v"))
-    return pixels.sharpen(e.withColumn("v", F.col("v").cast("double")), 0.25).select("quad", "y", "x", F.round("v", 6).alias("v"))
+    """Each vector as a patch of 8 x 8 values."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("quad"), F.posexplode("embedding").alias("i", "v"))
+    e = e.select("quad", F.expr("cast(i div 8 as int)").alias("y"), (F.col("i") % 8).alias("x"), F.col("v").cast("double").alias("v"))
+    return pixels.sharpen(e, 0.25).select("quad", "y", "x", F.round("v", 6).alias("v"))
 
 
 @query(f"""WITH {PX}, p AS (SELECT c_custkey AS k, (c_custkey * 37 % 6500) / CAST(100 AS DOUBLE) - 0.5 AS qx, (c_custkey * 91 % 20100) / CAST(100 AS DOUBLE) - 0.5 AS qy FROM customer),

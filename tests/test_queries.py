@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tessella.plans import queries as q
+from tessella.plans import batteries as q
 
 DATA = "/root/testdata/sf0.001"
 
