@@ -19,11 +19,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, one in the warehouse, or a temporary one in local mode."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="tessella-")
+        local = sc.master.split("[")[0] == "local"
+        found = tempfile.mkdtemp(prefix="tessella-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessella"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 

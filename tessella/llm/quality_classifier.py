@@ -8,7 +8,9 @@ rates of symbols, capitals, repeats and marks) is then trained on the posteriors
 The sample: the ``SAMPLE`` texts of least hash for each side of the posterior. All else covers all rows.
 
 Null and empty texts have only no opinions; they get the score of their features like any other. Repeated rows are counted and
-scored each. On an empty table nothing is trained and no rows come out.
+scored each, rows without a doc_id too; the sample takes a text once. A very long text is a block of its own. Of texts with one hash, or votes with equal
+posteriors, none goes first: the sample is the least hashes. On an empty table nothing is trained and no rows come out. ``keep_good`` passes columns of
+any name on; the rest reads only doc_id and text.
 """
 
 from __future__ import annotations
@@ -18,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, free_name, keyed, table, text_of
+from .common import blocks, free_name, keyed, materialize, table, text_of
 from .textvec import U64, Words, mix, words
-from .vectors import sum_vectors
 
 BUCKETS, SAMPLE, ROUNDS = 1 << 15, 3000, 60
 #: What a labeller votes: bad, good, no opinion.
@@ -175,15 +176,18 @@ def fit(docs: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
     k = len(LABELLERS)
     base = 3 ** np.arange(k)
 
-    def count(batches, total):
-        for _, texts in blocks(batches):
+    def vote(batches):
+        for batch, texts in blocks(batches):
             code = votes(rates(words(texts, lower=False))) @ base
-            total[: 3**k] += np.bincount(code, minlength=3**k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code.astype(np.int32))], names=["h", "code"])
 
-    counts = sum_vectors(docs.select("text"), count, 3**k)
-    some = np.flatnonzero(counts)
-    patterns = some[:, None] // base[None, :] % 3
-    share, p = em(patterns, counts[some])
+    hashed = docs.select(F.xxhash64("text").alias("h"), "text")
+    voted = materialize(hashed.mapInArrow(vote, "h bigint, code int"), "votes")  # the labellers read each text once
+    some = sorted((r.code, r.n) for r in voted.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect())
+    codes, counts = np.array([c for c, _ in some], np.int64), np.array([n for _, n in some], np.int64)
+    patterns = codes[:, None] // base[None, :] % 3
+    share, p = em(patterns, counts)
+    bad = codes[posterior(patterns, share, p) > 0.5].tolist()
 
     def sample(batches):
         for batch, texts in blocks(batches):
@@ -193,14 +197,8 @@ def fit(docs: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
             own = features(w, r)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q), pa.array([a.astype(np.int32).tobytes() for a, _ in own], pa.binary()), pa.array([v.tobytes() for _, v in own], pa.binary())], names=["h", "q", "at", "x"])
 
-    def side(batches):
-        for batch, texts in blocks(batches):
-            q = posterior(votes(rates(words(texts, lower=False))), share, p)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q > 0.5)], names=["h", "bad"])
-
-    hashed = docs.select(F.xxhash64("text").alias("h"), "text")
-    sides = hashed.mapInArrow(side, "h bigint, bad boolean").dropDuplicates(["h"])
-    picked = [r.h for bad in (True, False) for r in sides.where(F.col("bad") == bad).orderBy("h").limit(SAMPLE).collect()]
+    sides = [F.col("code").isin(bad), ~F.col("code").isin(bad)]
+    picked = [r.h for side in sides for r in voted.where(side).select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
     chosen = docs.sparkSession.createDataFrame([(h,) for h in picked], "h bigint")
     rows = hashed.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"]).mapInArrow(sample, "h bigint, q double, at binary, x binary").orderBy("h").collect()
     return share, p, train([(np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["x"]), np.float32)) for r in rows], np.array([r.q for r in rows]))

@@ -9,8 +9,9 @@ Counting explodes n-grams only into a partial aggregate of at most BUCKETS group
 The table of ratios is a scalar subquery with BUCKETS entries, whatever the size of the corpus. Texts are never shuffled unless
 the trusted ids are more than ``TRUSTED`` (then they are joined by doc_id).
 
-Null texts have no words. Repeated rows are judged each; labels of one doc_id count once. Without trusted texts
-all ratios are zero and the base rules decide.
+Null texts have no words. Repeated rows are judged each, rows without a doc_id too; labels of one doc_id count once. A very long text is one array of
+words, sorted in the row. A score equal to the threshold is kept. Without trusted texts all ratios are zero and the base rules decide. An empty table
+gives no rows. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -70,18 +71,20 @@ def base_rules(docs: DataFrame) -> DataFrame:
     t = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("_text"))
     t = t.select("doc_id", words_of(text).alias("w"), F.length(_without(text, SPACE)).cast("bigint").alias("word_chars"), (F.length(text) - F.length(_without(text, SYMBOLS))).cast("bigint").alias("n_symbols"), lines.alias("_lines"))
     t = t.select("doc_id", "w", "word_chars", "n_symbols", F.size("w").cast("bigint").alias("n_words"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"))
-    # Windows as (hash, place) in one long, sorted: equal windows are neighbours. The place takes as many bits as it needs.
-    t = t.withColumn("_bits", F.length(F.bin(F.col("n_words"))))
+    # Windows by (hash, place), sorted: equal windows are neighbours, and their words are compared.
     windows = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
     t = t.withColumn("_h", windows)
-    t = t.withColumn("_p", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda x, i: F.call_function("shiftleft", x, F.col("_bits")).bitwiseOR(i.cast("bigint"))))).otherwise(F.array().cast("array<bigint>")))
+    placed = F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    t = t.withColumn("_p", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
 
     def same(x: Column, y: Column) -> Column:
-        return F.coalesce(F.call_function("shiftrightunsigned", x, F.col("_bits")) == F.call_function("shiftrightunsigned", y, F.col("_bits")), F.lit(False))
+        both = x["h"] == y["h"]
+        for k in range(3):
+            both = both & (F.get("w", x["i"] + k) == F.get("w", y["i"] + k))
+        return F.coalesce(both, F.lit(False))
 
     again = F.filter("_p", lambda x, k: same(x, F.get("_p", k - 1)) | same(x, F.get("_p", k + 1)))
-    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bits")) - 1
-    t = t.withColumn("_q", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(mask))))
+    t = t.withColumn("_q", F.sort_array(F.transform(again, lambda x: x["i"].cast("bigint"))))
     # the words that a window covers before the next repeated one begins
     covered = F.aggregate(F.transform("_q", lambda x, k: F.coalesce(F.least(F.get("_q", k + 1) - x, F.lit(3)), F.lit(3))), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return t.select("doc_id", "w", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))

@@ -8,7 +8,8 @@ binary search in the sorted section starts. A token that crosses a boundary is a
 
 Either way every token counts once, so the counts of a text's sections add up to its tokens.
 
-A null or empty text has one empty section without tokens. Repeated rows are counted each.
+A null or empty text has one empty section without tokens. Repeated rows are counted each, rows without a doc_id too. A very long text is encoded as
+a whole, in a block of its own; memory grows with the longest text. An empty table gives no rows. Columns that are not named are not read, so names can't clash.
 """
 
 from __future__ import annotations

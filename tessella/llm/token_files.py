@@ -10,7 +10,8 @@ Ids are little-endian unsigned 16-bit integers inside a frame. One document is r
 its entry in ``ends`` and one decompression with the dictionary, whatever the size of the set.
 
 A null text is an empty one (just the end id). Rows with a null doc_id come first; rows that share a doc_id
-stay separate rows in no fixed order among themselves. An empty table gives an empty set with an empty dictionary.
+stay separate rows in no fixed order among themselves. An empty table gives an empty set with an empty dictionary. A very long
+text is one frame in its block, and no sample of the dictionary. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations

@@ -6,11 +6,13 @@ of a repeated letter, nothing for a sign at the end); each separator of a run is
 the text. Other tokens have a single path and stay as they are.
 
 Scoring: features are the distinct words of the restored text and their first bytes (4 to 8), hashed. On labelled rows the documents with
-each feature are counted by label; the ``FEATURES`` with the largest excess in toxic texts are kept, and a logistic scorer is trained on them
+each feature are counted by label; those with an excess of over three standard deviations in toxic texts are kept, and a logistic scorer is trained on them
 with the ``TRAIN`` labelled texts whose doc_id has the least hash, toxic ones weighing ``RARE`` times as much. The counts, the character model and the scores cover all rows.
 
 Only the text is an input. Rows with crc32(doc_id) mod 5 = 0 are never learnt from. Null and empty texts score by the
-bias alone. Repeated rows are scored each. Without labelled rows all scores are the bias, 0.5.
+bias alone. Repeated rows are scored each, rows without a doc_id too (not held out); of rows that share a doc_id the sample has one, the least text. A very long
+token is decoded in time and memory that grow with its length. Without labelled rows all scores are the bias, 0.5. An empty table gives no rows. Other
+columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from .common import blocks, keyed, table, text_of
 from .textvec import _ODD, _SHORT, _TABLE, U64, mix, words
 from .vectors import sum_vectors, with_labels
 
-BUCKETS, FEATURES, TRAIN, ROUNDS, RARE = 1 << 20, 8192, 20_000, 800, 3.0
+BUCKETS, TRAIN, ROUNDS, RARE = 1 << 20, 20_000, 800, 3.0
+#: Longest token whose reading is remembered.
+REMEMBERED = 64
 PREFIXES = (4, 5, 6, 7, 8)
 #: Letters that digits and signs are drawn for.
 DRAWN = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -96,11 +100,13 @@ def _options(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest reading of a lower-cased token (Viterbi; a state is the last two characters)."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(27, 0): (0.0, "")}
+    """The likeliest reading of a lower-cased token (Viterbi; a state is the last two characters). Of equal ones the first that is found stays."""
+    states: dict[tuple[int, int], float] = {(27, 0): 0.0}
+    back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
     for options in _options(token):
-        ahead: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in sorted(states.items()):
+        ahead: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for (a, b), cost in sorted(states.items()):
             for piece, own in options:
                 x, y, total = a, b, cost + own
                 if piece == " ":
@@ -109,17 +115,24 @@ def decode(token: str, model: np.ndarray) -> str:
                     z = ord(c) - 96 if "a" <= c <= "z" else 27
                     total += float(model[x, y, z])
                     x, y = y, z
-                if (x, y) not in ahead or total < ahead[x, y][0]:
-                    ahead[x, y] = (total, text + piece)
+                if (x, y) not in ahead or total < ahead[x, y]:
+                    ahead[x, y], came[x, y] = total, ((a, b), piece)
         states = ahead
-    return min((cost + float(model[a, b, 0]), text) for (a, b), (cost, text) in states.items())[1]
+        back.append(came)
+    at = min((cost + float(model[a, b, 0]), (a, b)) for (a, b), cost in states.items())[1]
+    pieces = []
+    for came in reversed(back):
+        at, piece = came[at]
+        pieces.append(piece)
+    return "".join(reversed(pieces))
 
 
 class Restorer:
     """Restores whole texts; a token's reading is remembered."""
 
     def __init__(self, model: np.ndarray):
-        self.read = lru_cache(maxsize=200_000)(lambda token: decode(token, model))
+        remembered = lru_cache(maxsize=200_000)(lambda token: decode(token, model))
+        self.read = lambda token: remembered(token) if len(token) <= REMEMBERED else decode(token, model)
 
     def __call__(self, text: str) -> str:
         if not _HINT.search(text):
@@ -176,8 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
     share = n_toxic / (n_clean + n_toxic)
     expected = (clean + toxic) * share
     excess = np.where(toxic >= 3, (toxic - expected) / np.sqrt(expected * (1 - share) + 1), 0)
-    kept = np.sort(np.lexsort((np.arange(BUCKETS), -excess))[:FEATURES])
-    kept = kept[excess[kept] > 3]
+    kept = np.flatnonzero(excess > 3)
 
     def look(batches):
         restore = Restorer(model)
@@ -193,7 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
         return model, kept, np.array([np.log(share / (1 - share))])
     # the hashes of the sample first, without texts, so that no task gathers more than a bounded number of rows
     last = learn.select("_h").distinct().orderBy("_h").limit(TRAIN).agg(F.max("_h")).first()[0]
-    rows = learn.where(F.col("_h") <= F.lit(last)).select("text", F.col("_label").alias("label")).mapInArrow(look, "label int, at binary").collect()
+    sample = learn.where(F.col("_h") <= F.lit(last)).groupBy("_h").agg(F.min(F.struct("text", "_label")).alias("r"))  # rows that repeat a doc_id are one
+    rows = sample.select("r.text", F.col("r._label").alias("label")).mapInArrow(look, "label int, at binary").collect()
     rows.sort(key=lambda r: (bytes(r["at"]), r.label))
     at = np.concatenate([np.frombuffer(bytes(r["at"]), np.int32) for r in rows])
     doc = np.repeat(np.arange(len(rows)), [len(r["at"]) // 4 for r in rows])
