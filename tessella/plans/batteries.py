@@ -7,18 +7,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import DetectorConfig
 from ..functions import geometry as g
-from ..functions import linalg
+from ..functions import linalg, polynomial
 from ..functions import scalar as s
-from ..operators import decode, pixels, quads, regions, signals
-from ..plans import detect as plan
-from ..sources import codecs, readers
-from .queries import _POLY, BOUNDARY, ORACLES, PX, QUERIES, _crosses, matrix, polygons, query, table, ternary
+from ..operators import decode, drawing, pixels, quads
+from ..sources import codecs, readers, synthetic
+from . import detect as plan
+from .queries import _POLY, ORACLES, PX, QUERIES, SIGMA, _conv_sql, _crosses, _values, matrix, polygons, query, table
 
-MIN_SIZE = 8
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def mapped(rows: DataFrame, f: Callable[[dict], dict], schema: str) -> DataFrame:
@@ -338,4 +339,95 @@ def brightest_pixels(spark, sf_dir):
     return decode.first_rows(matrix(spark, sf_dir).select("y", "x", "v"), ["y"], [F.desc("v"), "x"], 5).select("y", "x", "v")
 
 
-__all__ = ["ORACLES", "QUERIES", "BOUNDARY", "Column", "regions", "signals", "ternary"]
+def shapes(spark, sf_dir) -> DataFrame:
+    """A line for each part, in an image of 120 x 90."""
+    k = "p_partkey"
+    return table(spark, sf_dir, "part").selectExpr(f"{k} AS k", f"CAST({k} * 7 % 130 AS DOUBLE) - 5 AS x0", f"CAST({k} * 13 % 100 AS DOUBLE) - 5 AS y0", f"CAST({k} * 17 % 130 AS DOUBLE) AS x1", f"CAST({k} * 29 % 100 AS DOUBLE) AS y1", f"CAST({k} % 3 AS DOUBLE) AS r0", f"CAST({k} % 3 + {k} % 5 + 1 AS DOUBLE) AS r1")
+
+
+_SHAPES = "s AS (SELECT p_partkey AS k, CAST(p_partkey * 7 % 130 AS DOUBLE) - 5 AS x0, CAST(p_partkey * 13 % 100 AS DOUBLE) - 5 AS y0, CAST(p_partkey * 17 % 130 AS DOUBLE) AS x1, CAST(p_partkey * 29 % 100 AS DOUBLE) AS y1, CAST(p_partkey % 3 AS DOUBLE) AS r0, CAST(p_partkey % 3 + p_partkey % 5 + 1 AS DOUBLE) AS r1 FROM part)"
+
+
+@query(f"""WITH {_SHAPES}, d AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS d FROM s), t AS (SELECT *, unnest(range(0, CAST(floor(2 * d) AS BIGINT) + 1)) AS i FROM d WHERE d > 0)
+SELECT DISTINCT k, CAST(trunc(y1 + (y0 - y1) * (i * CAST(0.5 AS DOUBLE) / d)) AS INTEGER) AS y, CAST(trunc(x1 + (x0 - x1) * (i * CAST(0.5 AS DOUBLE) / d)) AS INTEGER) AS x FROM t WHERE trunc(x1 + (x0 - x1) * (i * CAST(0.5 AS DOUBLE) / d)) BETWEEN 0 AND 119 AND trunc(y1 + (y0 - y1) * (i * CAST(0.5 AS DOUBLE) / d)) BETWEEN 0 AND 89""")
+def draw_lines(spark, sf_dir):
+    return drawing.line_pixels(shapes(spark, sf_dir), ["k"], 120, 90)
+
+
+@query(f"WITH {_SHAPES} SELECT k, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM s, range(0, 90) a(y), range(0, 120) b(x) WHERE (x - x0) * (x - x0) + (y - y0) * (y - y0) BETWEEN r0 * r0 AND r1 * r1")
+def draw_rings(spark, sf_dir):
+    return drawing.ring_pixels(shapes(spark, sf_dir), ["k"], 120, 90)
+
+
+_LUT, _LUT_SCALE = (255, 200, 150, 90, 40, 10), 0.5
+
+
+@query(f"""WITH {_SHAPES}, d AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS d FROM s WHERE k <= 40), p AS (SELECT y, x, x0, y0, x1, y1, d, greatest(0, least(d, ((x + CAST(0.5 AS DOUBLE) - x0) * (x1 - x0) + (y + CAST(0.5 AS DOUBLE) - y0) * (y1 - y0)) / d)) AS t FROM d, range(0, 90) a(y), range(0, 120) b(x) WHERE d > 0),
+i AS (SELECT y, x, CAST(floor((pow(x + CAST(0.5 AS DOUBLE) - x0 - t * (x1 - x0) / d, 2) + pow(y + CAST(0.5 AS DOUBLE) - y0 - t * (y1 - y0) / d, 2)) * {_LUT_SCALE}) AS INTEGER) AS i FROM p)
+SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, max([{', '.join(map(str, _LUT))}][i + 1]) AS v FROM i WHERE i < {len(_LUT)} GROUP BY y, x""")
+def line_table(spark, sf_dir):
+    """The first forty lines drawn into one image, the brightest value at each pixel."""
+    image = pixels.synthetic(spark, "zero", 120, 90)
+    marks = drawing.line_values(shapes(spark, sf_dir).where("k <= 40").withColumn("image_id", F.lit("zero")), ["image_id"], list(_LUT), _LUT_SCALE, 120, 90)
+    return drawing.draw(image, marks, F.col("v"), True).where("v > 0").select("y", "x", "v")
+
+
+_CHANNELS = f"{PX}, rgb AS (SELECT c, y, x, CASE c WHEN 'r' THEN v WHEN 'g' THEN 255 - v ELSE (v * 7 + x) % 256 END AS v FROM px, (VALUES ('r'), ('g'), ('b')) k(c))"
+
+
+@query(f"WITH {_CHANNELS}, {_conv_sql('rgb', 'x', 'c, y', 'w', 'a', ', c')}, {_conv_sql('a', 'y', 'c, x', 'h', 'b', ', c')} SELECT c, y, x, CAST(v AS INTEGER) AS v FROM b")
+def color_blur(spark, sf_dir):
+    """A colour image is one image for each channel."""
+    m = matrix(spark, sf_dir)
+    values = {"r": F.col("v"), "g": 255 - F.col("v"), "b": (F.col("v") * 7 + F.col("x")) % 256}
+    rgb = None
+    for c, v in values.items():
+        one = m.select(F.lit(c).alias("image_id"), "w", "h", "y", "x", v.alias("v"))
+        rgb = one if rgb is None else rgb.unionByName(one)
+    return pixels.gaussian_blur(rgb, SIGMA).select(F.col("image_id").alias("c"), "y", "x", "v")
+
+
+_ROOTS = "r AS (SELECT p_partkey AS k, CAST(p_partkey % 7 - 10 AS DOUBLE) AS a, CAST(p_partkey % 11 AS DOUBLE) / 10 AS b, CAST(p_partkey % 13 + 2 AS DOUBLE) AS c FROM part)"
+
+
+@query(f"WITH {_ROOTS} SELECT k, 3 AS n, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c FROM r")
+def polynomial_roots(spark, sf_dir):
+    """The three roots of a cubic made from them."""
+
+    def f(r):
+        a, b, c = r["a"], r["b"], r["c"]
+        found = polynomial.roots([-a * b * c, a * b + b * c + a * c, -(a + b + c), 1.0])
+        return {"k": r["k"], "n": len(found)} | {name: round(x, 4) + 0.0 for name, x in zip("abc", found)}
+
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "CAST(p_partkey % 7 - 10 AS DOUBLE) AS a", "CAST(p_partkey % 11 AS DOUBLE) / 10 AS b", "CAST(p_partkey % 13 + 2 AS DOUBLE) AS c")
+    return mapped(rows, f, "k bigint, n bigint, a double, b double, c double").withColumn("n", F.col("n").cast("int"))
+
+
+@query("SELECT event_type, event_id, CAST(r AS INTEGER) AS popped FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 3")
+def heap_pops(spark, sf_dir):
+    """What a heap of each type gives first, second and third: the largest value, without sorting the rest."""
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    top = decode.first_rows(e.select("event_type", "event_id", "value"), ["event_type"], [F.desc("value"), "event_id"], 3)
+    return top.select("event_type", "event_id", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")).alias("popped"))
+
+
+@query("SELECT k, CAST(row_number() OVER (PARTITION BY id ORDER BY rx, ry, k) AS INTEGER) AS place FROM (SELECT p_partkey AS k, p_size AS id, round(p_retailprice / 10, 0) AS rx, round(p_partkey / 100, 0) AS ry FROM part)")
+def tolerant_order(spark, sf_dir):
+    """Rows of each id in the order of coordinates that count as equal within a rounding."""
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "p_size AS id", "round(p_retailprice / 10, 0) AS rx", "round(p_partkey / 100, 0) AS ry")
+    return p.select("k", F.row_number().over(Window.partitionBy("id").orderBy("rx", "ry", "k")).alias("place"))
+
+
+@query(f"WITH {PX} SELECT count(*) AS pixels, round(count(*) / 1e6, 6) AS megapixels, count(*) * 3 AS elements, count(*) * 12 AS bytes FROM px")
+def size_accounting(spark, sf_dir):
+    """Sizes of the matrix image with three channels of 32 bits."""
+    n = F.sum(F.col("width").cast("bigint") * F.col("height"))
+    return pixels.pack(matrix(spark, sf_dir)).agg(n.alias("pixels"), F.round(n / 1e6, 6).alias("megapixels"), (n * 3).alias("elements"), (n * 12).alias("bytes"))
+
+
+@query(f"SELECT image_id, CAST(seq AS INTEGER) AS seq, name FROM (VALUES {_values((f'tag16h5-{i}-{r}',) for i in range(30) for r in range(4))}) t(image_id), (VALUES {_values(enumerate(plan.STEPS))}) s(seq, name)")
+def stage_stamps(spark, sf_dir):
+    """The steps that each scene went through, in order of their time."""
+    stamps = plan.stage_stamps(synthetic.scenes(spark, "tag16h5", 10, 30), DetectorConfig(quad_decimate=1.0))
+    by_time = Window.partitionBy("image_id").orderBy("utime", "seq")
+    return stamps.select("image_id", (F.row_number().over(by_time) - 1).alias("seq"), "name")

@@ -6,6 +6,9 @@ images at once as it has cores. The relational stages in ``operators`` give the
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -175,15 +178,24 @@ def reconcile(found: list[dict]) -> list[dict]:
     return kept
 
 
-def detect_image(gray: np.ndarray, cfg: DetectorConfig, fams: list[Family]) -> list[dict]:
-    """All markers in one gray image (uint8, h x w)."""
+#: The steps of one image that ``stamp`` is told of, in their order.
+STEPS = ("init", "decimate", "blur", "quads", "decode and refinement", "reconcile")
+
+
+def detect_image(gray: np.ndarray, cfg: DetectorConfig, fams: list[Family], stamp: Callable[[str], None] = lambda name: None) -> list[dict]:
+    """All markers in one gray image (uint8, h x w); ``stamp`` is called at the end of each of ``STEPS``."""
+    stamp("init")
     if not fams or min(gray.shape) < 4:
         return []
     f = cfg.quad_decimate
     small = decimate(gray, f) if f > 1 else gray
+    stamp("decimate")
     small = blur(small, cfg.quad_sigma) if cfg.quad_sigma else small
+    stamp("blur")
+    found = find_quads(small, fams, cfg)
+    stamp("quads")
     out = []
-    for p, rev in find_quads(small, fams, cfg):
+    for p, rev in found:
         p = (p * np.float32(f) if f > 1 else p).astype(float)
         if cfg.refine_edges:
             p = q.refine_edges(p, rev, gray, cfg)
@@ -202,7 +214,10 @@ def detect_image(gray: np.ndarray, cfg: DetectorConfig, fams: list[Family]) -> l
             cx, cy = (float(v) for v in q.project(turned, 0, 0))
             corners = [tuple(float(v) for v in q.project(turned, x, y)) for x, y in ((-1, 1), (1, 1), (1, -1), (-1, -1))]
             out.append({"family": fam.name, "id": i, "hamming": hamming, "decision_margin": margin, "h": turned.ravel().tolist(), "cx": cx, "cy": cy, "corners": corners})
-    return sorted(reconcile(out), key=lambda d: (d["id"], d["family"], d["corners"]))
+    stamp("decode and refinement")
+    out = sorted(reconcile(out), key=lambda d: (d["id"], d["family"], d["corners"]))
+    stamp("reconcile")
+    return out
 
 
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
@@ -227,6 +242,28 @@ def detect(images: DataFrame, cfg: DetectorConfig | None = None) -> DataFrame:
     return images.select("image_id", "width", "height", "data").mapInArrow(run, schema.DETECTIONS)
 
 
+_STAMPS = pa.schema([("image_id", pa.string()), ("seq", pa.int32()), ("name", pa.string()), ("utime", pa.int64())])
+
+
+def stage_stamps(images: DataFrame, cfg: DetectorConfig | None = None) -> DataFrame:
+    """(image_id, seq, name, utime): when each step of each image's detection ended, in microseconds; ``compare.stage_deltas`` gives the durations."""
+    cfg = cfg or DetectorConfig()
+    fams = [family(n) for n in cfg.families]
+
+    def run(batches):
+        for batch in batches:
+            rows: list[dict] = []
+            for r in batch.to_pylist():
+                if r["data"] is None or not r["width"] or not r["height"]:
+                    continue
+                names: list[tuple[str, int]] = []
+                detect_image(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"]), cfg, fams, lambda name: names.append((name, time.time_ns() // 1000)))
+                rows += [{"image_id": r["image_id"], "seq": k, "name": name, "utime": at} for k, (name, at) in enumerate(names)]
+            yield pa.RecordBatch.from_pylist(rows, schema=_STAMPS)
+
+    return images.select("image_id", "width", "height", "data").mapInArrow(run, "image_id string, seq int, name string, utime bigint")
+
+
 class Detector:
     """The keyword facade: ``Detector('tag16h5', maxhamming=1).detect(images)``."""
 
@@ -234,6 +271,7 @@ class Detector:
         from ..sources.families import family as known
 
         known(family)  # an unknown name lists the known ones
+        self.debug, self.stamps = debug, []  # with debug, the steps of the last array and their seconds; threads are Spark's own
         self.config = DetectorConfig(families=(family,), max_hamming=maxhamming, quad_decimate=decimate, quad_sigma=blur, refine_edges=refine_edges)
 
     def detect(self, images):
@@ -247,5 +285,7 @@ class Detector:
             raise ValueError(f"the image must hold uint8, not {a.dtype}")
         if a.size and a.strides[1] != 1:
             raise ValueError("the image's rows must be contiguous")
-        found = detect_image(a, self.config, [family(n) for n in self.config.families])
+        at = [("", time.perf_counter())]
+        found = detect_image(a, self.config, [family(n) for n in self.config.families], (lambda name: at.append((name, time.perf_counter()))) if self.debug else lambda name: None)
+        self.stamps = [(name, t - before) for (_, before), (name, t) in zip(at, at[1:])]
         return [{"hamming": d["hamming"], "margin": d["decision_margin"], "id": d["id"], "center": (d["cx"], d["cy"]), "lb-rb-rt-lt": d["corners"]} for d in found]
