@@ -27,14 +27,14 @@ def contaminated(docs, items, size=10):
     return out
 
 
-def shingles(text):
+def shingles(text, size=4):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lower))
-    return {tuple(w)} if 0 < len(w) < 4 else {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+    return {tuple(w)} if 0 < len(w) < size else {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
 
 
-def near_components(docs):
-    sets = [(d, shingles(t)) for d, t in docs]
+def near_components(docs, size=4):
+    sets = [(d, shingles(t, size)) for d, t in docs]
     label = {d: d for d, _ in sets}
 
     def root(x):

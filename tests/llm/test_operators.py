@@ -509,23 +509,61 @@ def test_op10_few_words(spark, seed):
     assert judged(got) == sorted((str(a), n, h, k, x) for a, n, h, k, x, _ in brute.contaminated(own, bench))
 
 
+def plain_redaction(rows):
+    """Texts of (doc_id, source, text) rows with live and owner-specific secrets replaced, by the rule of ownership."""
+    found = []
+    for d, s, t in rows:
+        t = t or ""
+        base = [(m.start(), m.end(), m[g]) for _, p, g, least in secrets.KINDS for m in re.finditer(p, t) if len(m[g]) >= least]
+        looks = lambda v: re.search("[0-9]", v) and re.search("[A-Za-z]", v) and len(set(v)) >= secrets.DISTINCT
+        free = [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.TOKEN, t) if looks(m[0]) and not any(b < m.end() and m.start() < e for b, e, _ in base)]
+        found.append((base, free))
+    held: dict = {}
+    for (d, s, t), (base, free) in zip(rows, found):
+        for _, _, v in base + free:
+            held.setdefault(v, []).append((s or "", d, t))
+    wide = lambda v: min(len({x[0] for x in held[v]}), len({x[2] for x in held[v]})) >= secrets.COPIED_OWNERS or min(len({x[:2] for x in held[v]}), len({x[2] for x in held[v]})) >= secrets.COPIED_REPOSITORIES
+    out = []
+    for (_, _, t), (base, free) in zip(rows, found):
+        at, parts = 0, ""
+        for b, e, v in sorted(base + free):
+            if not wide(v):
+                if b >= at:
+                    parts += (t or "")[at:b] + "[SECRET]"
+                at = max(at, e)
+        out.append(parts + (t or "")[at:] if at else t)
+    return out
+
+
 def test_pipeline(spark):
+    """Each stage's rows are those of a plain version of it."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from tessella.llm.common import materialize, table
 
-    docs, counts = table(spark, DATA, "documents"), []
+    docs = table(spark, DATA, "documents")
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
-        docs = materialize(stage(spark, docs, DATA), "stage")
-        counts.append(docs.count())
+        before, docs = docs, materialize(stage(spark, docs, DATA), "stage")
+        rows = pairs(before)
+        if name == "quality classifier":
+            want = [(r.doc_id, None) for r in quality_classifier.classify(before).where("kept").collect()]
+            assert sorted(d for d, _ in pairs(docs)) == sorted(d for d, _ in want)
         if name == "near-dedup":
-            left = pairs(docs)
-            sets = [brute.shingles(t) for _, t in left]
-            assert len({t for _, t in left if t}) == len([t for _, t in left if t]) and all(sets)
+            want = [d for d, n, c, kept in brute.near_components(rows, 5) if kept]
+            assert sorted(d for d, _ in pairs(docs)) == sorted(want)
         if name == "decontamination":
             bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-            assert not any(x[5] for x in brute.contaminated(pairs(docs), bench))
-        if stage is not corpus_pipeline.STAGES[-1][1]:
+            assert sorted(d for d, _ in pairs(docs)) == sorted(x[0] for x in brute.contaminated(rows, bench) if not x[5])
+        if name == "secret scans":
+            full = [(r.doc_id, r.source, r.text) for r in before.collect()]
+            assert sorted(pairs(docs)) == sorted((d, t) for (d, _, _), t in zip(full, plain_redaction(full)))
+        if name == "best-fit packing":
+            tok, want = encoder(WORD).tok, []
+            for d, t in rows:
+                ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+                want += [(d, k, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048))]
+            assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in docs.collect()) == sorted(want)
+            used = docs.select("sequence_id").distinct().count()
+            assert used <= best_fit_decreasing([x[3] for x in want], 2048) + 1
+        else:
             assert docs.columns == columns
-    assert counts[0] >= counts[1] >= counts[2] == counts[3]
-    assert sum(r.length for r in docs.collect()) > 0
