@@ -1,4 +1,10 @@
-"""A training-data pipeline over ``documents``: each stage works on all that the one before kept, written as Parquet in between."""
+"""A training-data pipeline over ``documents``: each stage works on all that the one before kept, written as Parquet in between.
+
+Odd cases, whatever stage they reach: a null text is an empty one; it is judged by the classifier, is a copy of nothing, holds no passage and no
+secret, and is packed as its end id. Rows that share a doc_id, or have none, are judged each by their own text: of rows equal in doc_id and text one is
+left, and of near copies the row with the least doc_id, then the least hash of its text. Very long texts are worked on whole, in blocks of their own. Columns
+of any name pass through all stages but the last, which returns places. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
