@@ -166,16 +166,19 @@ def ternary(spark, sf_dir):
     return pixels.threshold(matrix(spark, sf_dir), DIFF)
 
 
-# labels spread along links until nothing changes; a link is listed both ways
+# pixels of a row that touch are one run; labels spread along links of runs until nothing changes; a link is listed both ways
 COMPONENTS = "RECURSIVE " + ternary_sql(DIFF) + """,
 node AS (SELECT y * 64 + x AS id, y, x, t FROM ternary WHERE t <> 127),
-half AS (SELECT a.id AS a, b.id AS b FROM node a JOIN node b ON a.t = b.t AND a.x BETWEEN 1 AND 62 AND
-  ((b.y = a.y AND b.x = a.x - 1) OR (b.y = a.y - 1 AND b.x = a.x) OR (a.t = 255 AND b.y = a.y - 1 AND b.x IN (a.x - 1, a.x + 1)))),
+cut AS (SELECT *, CASE WHEN x BETWEEN 1 AND 62 AND lag(x) OVER r = x - 1 AND lag(t) OVER r = t THEN 0 ELSE 1 END AS begins FROM node WINDOW r AS (PARTITION BY y ORDER BY x)),
+numbered AS (SELECT id, y, x, t, sum(begins) OVER (PARTITION BY y ORDER BY x) AS k FROM cut),
+run AS (SELECT id, y, x, t, min(id) OVER (PARTITION BY y, k) AS run FROM numbered),
+half AS (SELECT DISTINCT a.run AS a, b.run AS b FROM run a JOIN run b ON b.y = a.y - 1 AND a.t = b.t AND a.x BETWEEN 1 AND 62 AND (b.x = a.x OR (a.t = 255 AND b.x IN (a.x - 1, a.x + 1)))),
 link AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
-spread(id, rep) USING KEY (id) AS (
-  SELECT id, id FROM node
+flow(run, rep) USING KEY (run) AS (
+  SELECT DISTINCT run, run FROM run
   UNION
-  SELECT l.a AS id, min(s.rep) AS rep FROM link l JOIN spread s ON s.id = l.b JOIN recurring.spread r ON r.id = l.a WHERE s.rep < r.rep GROUP BY l.a)"""
+  SELECT l.a AS run, min(s.rep) AS rep FROM link l JOIN flow s ON s.run = l.b JOIN recurring.flow r ON r.run = l.a WHERE s.rep < r.rep GROUP BY l.a),
+spread AS (SELECT run.id AS id, flow.rep AS rep FROM run JOIN flow USING (run))"""
 
 
 @query(f"WITH {COMPONENTS} SELECT CAST(id AS BIGINT) AS pixel_id, CAST(rep AS BIGINT) AS rep FROM spread")
