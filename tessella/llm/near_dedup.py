@@ -36,7 +36,7 @@ from .textvec import U64, grams, mix, sequence_hash, words
 REGISTERS, ROWS_IN_BAND, BASE = 128, 4, 1.02
 SLACK = 0.15
 #: Rounds of new hubs for open members.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 #: Members and shingles of one block of a bucket.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 2000, 2_000_000
 #: Shingles sketched at once, so that memory does not grow with the text.
