@@ -205,7 +205,7 @@ def homography4(spark, sf_dir):
 
 @query(f"""WITH {_POLY}, {_UNIT}, spot(u, v, name) AS (VALUES (0.5, 0.5, 'c'), (0.75, 0.25, 'p')),
 t AS (SELECT k, name, ((x2 - x1 + g * x2) * u + (x4 - x1 + h * x4) * v + x1) / (g * u + h * v + 1) AS x, ((y2 - y1 + g * y2) * u + (y4 - y1 + h * y4) * v + y1) / (g * u + h * v + 1) AS y FROM h, spot)
-SELECT k, round(max(x) FILTER (WHERE name = 'c'), 5) AS cx, round(max(y) FILTER (WHERE name = 'c'), 5) AS cy, round(max(x) FILTER (WHERE name = 'p'), 5) AS px, round(max(y) FILTER (WHERE name = 'p'), 5) AS py FROM t GROUP BY k""")
+SELECT k, round(max(x) FILTER (WHERE name = 'c'), 5) + 0 AS cx, round(max(y) FILTER (WHERE name = 'c'), 5) + 0 AS cy, round(max(x) FILTER (WHERE name = 'p'), 5) + 0 AS px, round(max(y) FILTER (WHERE name = 'p'), 5) + 0 AS py FROM t GROUP BY k""")
 def project_points(spark, sf_dir):
     """The centre of the square, and the point (0.5, -0.5), in each quad."""
 
