@@ -15,15 +15,21 @@ any name on; the rest reads only doc_id and text.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterable
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, free_name, keyed, materialize, table, text_of
 from .textvec import U64, Words, mix, words
 
 BUCKETS, SAMPLE, ROUNDS = 1 << 15, 3000, 60
+#: Features that a training step holds at once.
+ENTRIES = 1 << 18
 #: What a labeller votes: bad, good, no opinion.
 BAD, GOOD, NONE = 0, 1, 2
 LABELLERS = ("symbols", "shouting", "stutter", "variety", "table", "lines", "marks", "punctuation")
@@ -153,19 +159,38 @@ def features(w: Words, r: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Logistic regression on soft labels by full-batch gradient steps with per-weight rates; the bias comes last."""
+def spool(rows: Iterable[Row], folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of each row (at, x, q), its buckets, weights and target, as files in ``folder``: the driver holds a row at a time, whatever the length of texts."""
+    sizes, target = [], []
+    with open(f"{folder}/at", "wb") as at, open(f"{folder}/x", "wb") as x:
+        for r in rows:
+            at.write(r.at)
+            x.write(r.x)
+            sizes.append(len(r.x) // 4)
+            target.append(r.q)
+    mapped = [np.memmap(f"{folder}/{name}", kind, "r") if sizes else np.zeros(0, kind) for name, kind in (("at", np.uint16), ("x", np.float32))]
+    return np.array(sizes, np.int64), *mapped, np.array(target)
+
+
+def train(sizes: np.ndarray, at: np.ndarray, x: np.ndarray, target: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Logistic regression on soft labels by full-batch gradient steps with per-weight rates; the bias comes last. A step adds up blocks of texts."""
     weights = np.zeros(BUCKETS + 1)
-    if not rows:
+    if not len(sizes):
         return weights
-    at = np.concatenate([a for a, _ in rows])
-    x = np.concatenate([v for _, v in rows]).astype(np.float64)
-    doc = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
+    bounds = np.append(0, np.cumsum(sizes))
+    cuts = [0]
+    while cuts[-1] < len(sizes):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(bounds, bounds[cuts[-1]] + ENTRIES, "right")) - 1))
     square = np.full(BUCKETS + 1, 1e-8)
     for _ in range(rounds):
-        z = np.bincount(doc, x * weights[at], minlength=len(rows)) + weights[-1]
-        error = 1 / (1 + np.exp(-z)) - target
-        grad = np.append(np.bincount(at, x * error[doc], minlength=BUCKETS), error.sum()) / len(rows) + 1e-6 * weights
+        grad = np.zeros(BUCKETS + 1)
+        for a, b in pairwise(cuts):
+            own, value = at[bounds[a] : bounds[b]].astype(np.int64), x[bounds[a] : bounds[b]].astype(np.float64)
+            doc = np.repeat(np.arange(b - a), sizes[a:b])
+            z = np.bincount(doc, value * weights[own], minlength=b - a) + weights[-1]
+            error = 1 / (1 + np.exp(-z)) - target[a:b]
+            grad += np.append(np.bincount(own, value * error[doc], minlength=BUCKETS), error.sum())
+        grad = grad / len(sizes) + 1e-6 * weights
         square += grad * grad
         weights -= 0.5 * grad / np.sqrt(square)
     return weights
@@ -195,13 +220,14 @@ def fit(docs: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
             r = rates(w)
             q = posterior(votes(r), share, p)
             own = features(w, r)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q), pa.array([a.astype(np.int32).tobytes() for a, _ in own], pa.binary()), pa.array([v.tobytes() for _, v in own], pa.binary())], names=["h", "q", "at", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q), pa.array([a.astype(np.uint16).tobytes() for a, _ in own], pa.binary()), pa.array([v.tobytes() for _, v in own], pa.binary())], names=["h", "q", "at", "x"])
 
     sides = [F.col("code").isin(bad), ~F.col("code").isin(bad)]
     picked = [r.h for side in sides for r in voted.where(side).select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
     chosen = docs.sparkSession.createDataFrame([(h,) for h in picked], "h bigint")
-    rows = hashed.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"]).mapInArrow(sample, "h bigint, q double, at binary, x binary").orderBy("h").collect()
-    return share, p, train([(np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["x"]), np.float32)) for r in rows], np.array([r.q for r in rows]))
+    rows = hashed.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"]).mapInArrow(sample, "h bigint, q double, at binary, x binary").orderBy("h")
+    with tempfile.TemporaryDirectory(prefix="tessella-") as folder:
+        return share, p, train(*spool(rows.toLocalIterator(), folder))
 
 
 def classify(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import os
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
@@ -177,3 +178,27 @@ def test_classifier_is_em_and_a_plain_scorer(docs):
     got = sorted((str(r.doc_id), r.posterior, r.score, r.kept) for r in quality_classifier.classify(docs).collect())
     for a, b in zip(got, sorted(want), strict=True):
         assert a[0] == b[0] and abs(a[1] - b[1]) < 2e-6 and abs(a[2] - b[2]) < 1e-4 and a[3] == (a[2] < 0.5)
+
+
+def test_training_holds_a_block_of_the_sample(spark):
+    """Features of long texts go through the driver in blocks: its peak is far under their whole size, in one block or many."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(33, 500, 12_000))) for _ in range(300)]
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8).cache()
+    quality_classifier.fit(table)
+    tracemalloc.start()
+    _, _, weights = quality_classifier.fit(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.abs(weights).sum() > 0
+    assert peak < 40e6, peak
+
+
+def test_training_in_blocks_is_full_batch(monkeypatch):
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 30, 40)
+    at, x, target = rng.integers(0, quality_classifier.BUCKETS, sizes.sum()).astype(np.uint16), rng.random(sizes.sum(), np.float32), rng.random(40)
+    whole = quality_classifier.train(sizes, at, x, target)
+    for entries in (1, 50, 200):
+        monkeypatch.setattr(quality_classifier, "ENTRIES", entries)
+        assert np.allclose(quality_classifier.train(sizes, at, x, target), whole, rtol=0, atol=1e-9)
