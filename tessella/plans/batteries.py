@@ -394,13 +394,15 @@ _ROOTS = "r AS (SELECT p_partkey AS k, CAST(p_partkey % 7 - 10 AS DOUBLE) AS a,
 def polynomial_roots(spark, sf_dir):
     """The three roots of a cubic made from them."""
 
-    def f(r):
-        a, b, c = r["a"], r["b"], r["c"]
-        found = polynomial.roots([-a * b * c, a * b + b * c + a * c, -(a + b + c), 1.0])
-        return {"k": r["k"], "n": len(found)} | {name: round(x, 4) + 0.0 for name, x in zip("abc", found)}
+    def run(batches):
+        for batch in batches:
+            a, b, c = (batch.column(k).to_numpy() for k in (1, 2, 3))
+            found = polynomial.roots_of(np.stack([-a * b * c, a * b + b * c + a * c, -(a + b + c), np.ones(len(a))], axis=1))
+            rounded = [[round(x, 4) + 0.0 for x in r] + [None] * (3 - len(r)) for r in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in found], pa.int64()), *[pa.array([r[k] for r in rounded], pa.float64()) for k in range(3)]], names=["k", "n", "a", "b", "c"])
 
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "CAST(p_partkey % 7 - 10 AS DOUBLE) AS a", "CAST(p_partkey % 11 AS DOUBLE) / 10 AS b", "CAST(p_partkey % 13 + 2 AS DOUBLE) AS c")
-    return mapped(rows, f, "k bigint, n bigint, a double, b double, c double").withColumn("n", F.col("n").cast("int"))
+    rows = table(spark, sf_dir, "part").selectExpr("CAST(p_partkey AS BIGINT) AS k", "CAST(p_partkey % 7 - 10 AS DOUBLE) AS a", "CAST(p_partkey % 11 AS DOUBLE) / 10 AS b", "CAST(p_partkey % 13 + 2 AS DOUBLE) AS c")
+    return rows.mapInArrow(run, "k bigint, n bigint, a double, b double, c double").withColumn("n", F.col("n").cast("int"))
 
 
 @query("SELECT event_type, event_id, CAST(r AS INTEGER) AS popped FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 3")
