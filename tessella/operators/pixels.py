@@ -110,11 +110,17 @@ def rotate(pixels: DataFrame, radians: float, pad: int) -> DataFrame:
     dims = pixels.select(*KEY).distinct()
     ow = F.ceil(F.abs(F.col("w") * c) + F.abs(F.col("h") * s)).cast("int")
     oh = F.ceil(F.abs(F.col("w") * s) + F.abs(F.col("h") * c)).cast("int")
-    grid = dims.withColumns({"ow": ow, "oh": oh}).withColumn("oy", F.explode(F.sequence(F.lit(0), F.col("oh") - 1))).withColumn("ox", F.explode(F.sequence(F.lit(0), F.col("ow") - 1)))
+    spark = pixels.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    lines = dims.withColumns({"ow": ow, "oh": oh}).withColumn("oy", F.explode(F.sequence(F.lit(0), F.col("oh") - 1))).repartition(parts, "image_id", "oy")
+    grid = lines.withColumn("ox", F.explode(F.sequence(F.lit(0), F.col("ow") - 1)))
     dx, dy = F.col("ox") + 0.5 - F.col("ow") / 2, F.col("oy") + 0.5 - F.col("oh") / 2
     grid = grid.withColumns({"sx": F.floor(dx * c + dy * s + F.col("w") / 2).cast("int"), "sy": F.floor(-dx * s + dy * c + F.col("h") / 2).cast("int")})
-    found = grid.join(pixels.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "v"), ["image_id", "sx", "sy"], "left")
-    return found.select("image_id", F.col("ow").alias("w"), F.col("oh").alias("h"), F.col("oy").alias("y"), F.col("ox").alias("x"), F.coalesce("v", F.lit(pad)).alias("v"))
+    inside = F.expr("sx between 0 and w - 1 and sy between 0 and h - 1")
+    # a long narrow image has far more padding than pixels, so only places on the image are joined
+    found = grid.where(inside).join(pixels.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "v"), ["image_id", "sx", "sy"], "left")
+    turned = [F.col(a).alias(b) for a, b in (("image_id", "image_id"), ("ow", "w"), ("oh", "h"), ("oy", "y"), ("ox", "x"))]
+    return found.select(*turned, F.coalesce("v", F.lit(pad)).alias("v")).unionByName(grid.where(~inside).select(*turned, F.lit(pad).alias("v")))
 
 
 def tile_minmax(pixels: DataFrame) -> DataFrame:
