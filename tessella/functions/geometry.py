@@ -148,6 +148,29 @@ def polygons_overlap(p: np.ndarray, q: np.ndarray) -> bool:
     return inside(p, q[:3].mean(0)) or inside(q, p[:3].mean(0))
 
 
+def overlaps_many(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which polygons of p (polygons x corners x 2) overlap the polygon q; a polygon with fewer corners repeats its last one."""
+    a, c = p[:, :, None], q[None, None]
+    u, v, w = np.roll(p, -1, axis=1)[:, :, None] - a, np.roll(q, -1, axis=0)[None, None] - c, c - a
+    det = u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s, t = (w[..., 0] * v[..., 1] - w[..., 1] * v[..., 0]) / det, (w[..., 0] * u[..., 1] - w[..., 1] * u[..., 0]) / det
+        crossed = (np.abs(det) >= 1e-8) & (0 <= s) & (s <= 1) & (0 <= t) & (t <= 1)
+    return crossed.any(axis=(1, 2)) | _inside_many(p, _mean(q[None])) | _inside_many(q[None], _mean(p))
+
+
+def _mean(p: np.ndarray) -> np.ndarray:
+    return (p[:, 0] + p[:, 1] + p[:, 2]) / 3
+
+
+def _inside_many(p: np.ndarray, at: np.ndarray) -> np.ndarray:
+    a, b, x, y = p, np.roll(p, -1, axis=1), at[:, None, 0], at[:, None, 1]
+    spans = (a[..., 1] > y) != (b[..., 1] > y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cut = (b[..., 0] - a[..., 0]) * (y - a[..., 1]) / (b[..., 1] - a[..., 1]) + a[..., 0]
+    return (spans & (x < cut)).sum(axis=1) % 2 == 1
+
+
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Counter-clockwise hull without collinear points (monotone chain)."""
     p = sorted(set(map(tuple, np.asarray(points, float).tolist())))

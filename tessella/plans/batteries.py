@@ -14,7 +14,7 @@ from ..config import DetectorConfig
 from ..functions import geometry as g
 from ..functions import linalg, polynomial
 from ..functions import scalar as s
-from ..operators import decode, drawing, pixels, quads
+from ..operators import compare, decode, drawing, pixels, quads
 from ..sources import codecs, readers, synthetic
 from . import detect as plan
 from .queries import _POLY, ORACLES, PX, QUERIES, SIGMA, _conv_sql, _crosses, _values, matrix, polygons, query, table
@@ -236,10 +236,8 @@ SELECT image, count(*) AS n FROM d WHERE NOT EXISTS (SELECT 1 FROM rival WHERE r
 def unbeaten_detections(spark, sf_dir):
     """How many detections of each image no overlapping one beats: fewer wrong bits, then the larger margin."""
     d = polygons(spark, sf_dir).select("k", "p", (F.col("k") % 50).alias("image"), (F.col("k") % 4).alias("hamming"), (F.col("k") * 31 % 997 / F.lit(10.0)).alias("margin"))
-    o = d.select("image", *[F.col(c).alias(f"o_{c}") for c in ("k", "p", "hamming", "margin")])
-    better = (F.col("o_hamming") < F.col("hamming")) | ((F.col("o_hamming") == F.col("hamming")) & (F.col("o_margin") > F.col("margin")))
-    beaten = d.join(o, "image").where((F.col("k") != F.col("o_k")) & better).where(g.overlaps(F.col("p"), F.col("o_p"))).select("k")
-    return d.join(beaten, "k", "left_anti").groupBy("image").agg(F.count(F.lit(1)).alias("n"))
+    left = compare.unbeaten(d, "image", "p", F.struct("hamming", (-F.col("margin")).alias("margin")))
+    return left.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
 
 
 _TWINS = "SELECT p_partkey AS k, CAST(p_partkey % 3 AS INTEGER) AS hamming, p_partkey % 7 + 0.5 AS margin, p_partkey % 2 = 0 AS apart FROM part"
