@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -99,3 +100,12 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = B
             total += n
         if start < batch.num_rows:
             yield batch.slice(start), column.slice(start)
+        del batch, column
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: Python workers wait for their next task with what they hold."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
