@@ -86,10 +86,10 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Slices of the batches whose texts have at most ``limit`` bytes (or one row), with the texts, nulls empty."""
+def blocks(batches: Iterable[pa.RecordBatch], text: str | int = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches whose texts have at most ``limit`` bytes (or one row), with the texts, nulls empty. ``text``: the column's name or place."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
+        column = batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text))
         column = pc.fill_null(column.cast(pa.large_string()), "")
         sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
         start, total = 0, 0

@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, free_name, keyed, materialize, table, text_of
+from .common import blocks, keyed, materialize, table, text_of
 from .textvec import U64, Words, mix, words
 
 BUCKETS, SAMPLE, ROUNDS = 1 << 15, 3000, 60
+#: Bytes of text that the kernels work on at once; their arrays take about 40 bytes for each, beside the batch that Spark sends.
+KERNEL_BYTES = 1 << 17
 #: Features that a training step holds at once.
 ENTRIES = 1 << 18
 #: What a labeller votes: bad, good, no opinion.
@@ -202,7 +204,7 @@ def fit(docs: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
     base = 3 ** np.arange(k)
 
     def vote(batches):
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, limit=KERNEL_BYTES):
             code = votes(rates(words(texts, lower=False))) @ base
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code.astype(np.int32))], names=["h", "code"])
 
@@ -215,7 +217,7 @@ def fit(docs: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
     bad = codes[posterior(patterns, share, p) > 0.5].tolist()
 
     def sample(batches):
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, limit=KERNEL_BYTES):
             w = words(texts, lower=False)
             r = rates(w)
             q = posterior(votes(r), share, p)
@@ -236,7 +238,7 @@ def classify(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray] | None
     share, p, weights = model or fit(docs)
 
     def run(batches):
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, limit=KERNEL_BYTES):
             q, z = _scores(texts, share, p, weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(q, 6)), pa.array(np.round(z, 6)), pa.array(z < 0.5)], names=["doc_id", "posterior", "score", "kept"])
 
@@ -251,16 +253,17 @@ def _scores(texts: pa.Array, share: float, p: np.ndarray, weights: np.ndarray) -
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is under 0.5; nothing is shuffled."""
+    """The rows of ``docs``, with all their columns, whose score is under 0.5; nothing is shuffled, and each text goes to Python once."""
     share, p, weights = fit(docs.select(text_of().alias("text")))
-    names, own = docs.columns, free_name(docs, "_text")
+    names = docs.columns
+    at = names.index("text") if "text" in names else [c.lower() for c in names].index("text")
 
     def run(batches):
-        for batch, texts in blocks(batches, own):
+        for batch, texts in blocks(batches, at, KERNEL_BYTES):
             _, z = _scores(texts, share, p, weights)
-            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(z < 0.5))
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(z < 0.5))
 
-    return docs.select(text_of().alias(own), "*").mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

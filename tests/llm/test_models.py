@@ -202,3 +202,33 @@ def test_training_in_blocks_is_full_batch(monkeypatch):
     for entries in (1, 50, 200):
         monkeypatch.setattr(quality_classifier, "ENTRIES", entries)
         assert np.allclose(quality_classifier.train(sizes, at, x, target), whole, rtol=0, atol=1e-9)
+
+
+def test_a_worker_holds_a_small_block(spark, docs, monkeypatch):
+    """What scoring holds beside Spark's batch is far under 40 bytes for each byte of the batch, and scores don't depend on blocks."""
+    kernels, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **k: kernels.append(f) or real(self, f, *a, **k))
+    rng = np.random.default_rng(7)
+    model = 0.1, np.full((len(quality_classifier.LABELLERS), 2, 2), 0.5), rng.normal(size=quality_classifier.BUCKETS + 1)
+    quality_classifier.classify(docs, model)
+    texts = ["".join(map(chr, rng.integers(32, 127, 3000))) for _ in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700)), pa.array(texts)], names=["doc_id", "text"])
+    list(kernels[-1](iter([batch])))
+    tracemalloc.start()
+    got = [x for b in kernels[-1](iter([batch])) for x in b.column(2).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == np.round(quality_classifier._scores(pa.array(texts, pa.large_string()), *model)[1], 6).tolist()
+    assert peak < 12e6, peak
+
+
+def test_filter_sends_each_text_once(spark, docs):
+    """Python gets the rows as they are, without a second copy of the text, wherever the column stands and however it is written."""
+    for wide in (docs, docs.selectExpr("'x' source", "text Text", "doc_id", "1 a", "2 _text")):
+        kept = quality_classifier.keep_good(wide)
+        assert kept._jdf.queryExecution().analyzed().children().apply(0).output().size() == len(wide.columns)
+        at = [c.lower() for c in wide.columns].index("text")
+        want = sorted(map(str, (r.text for r in quality_classifier.classify(docs).join(docs, "doc_id").where("kept").collect())))
+        got = sorted(str(r[at]) for r in kept.collect())
+        extra = [str(t) for d, t in pairs(docs) if d is None and str(t) in got]
+        assert got == sorted(want + extra) and kept.columns == wide.columns
