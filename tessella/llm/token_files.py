@@ -30,6 +30,8 @@ from .tokens import encoder, tokenizer_path
 
 #: Documents in one block.
 BLOCK = 256
+#: Bytes of text that are encoded at once: in larger blocks a piece more often stands again.
+ENCODE_BYTES = 2 << 20
 #: The dictionary is trained on the ids of the texts with this many least hashes of doc_id, of at most SAMPLE_CHARS each.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 500, 20_000, 32_768
 _BLOCKS = "part int, block int, dictionary string, doc_ids array<bigint>, n_tokens array<int>, ends array<int>, payload binary"
@@ -76,8 +78,8 @@ def write_ids(docs: DataFrame, out: str, path: str, end_id: int = 0) -> None:
     def encode(batches):
         enc, (press, _), tail = encoder(path), _zstd(dictionary), np.array([end_id], np.uint16).tobytes()
         at = np.array(cuts, np.int64)
-        for batch, texts in blocks(batches):
-            raw = [x + tail for x in enc.encode_bytes(texts.to_pylist())]
+        for batch, texts in blocks(batches, limit=ENCODE_BYTES):
+            raw = [x + tail for x in enc.encode_array(texts)]
             ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(at, ids, "left").astype(np.int32)), batch.column(0), pa.array([len(x) // 2 for x in raw], pa.int32()), pa.array([press.compress(x) for x in raw], pa.binary())], names=["part", "doc_id", "n", "frame"])
 

@@ -1,9 +1,11 @@
 """Exact BPE encoding with a bounded memo of space-separated chunks.
 
 Both vocabularies split a text into pre-tokens that never join across a single space or line feed, so such
-chunks can be encoded apart and remembered. Texts with other white space next to each other take the
-library's own path. Results are those of ``Tokenizer.encode(text, add_special_tokens=False)`` with
-``encode_special_tokens`` set: the names of special tokens in a text are ordinary text.
+chunks can be encoded apart and remembered. The byte-level one also never joins a letter with a mark or digit
+after it: a block of texts is cut there at once, and each distinct piece of it is asked for once. Texts with
+other white space next to each other take the library's own path. Results are those of
+``Tokenizer.encode(text, add_special_tokens=False)`` with ``encode_special_tokens`` set: the names of special
+tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -14,12 +16,15 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Chunks in the younger half of a worker's memo; when it is full it becomes the older half, from which used ones come back.
 MEMO = 300_000
+#: Longer chunks, in characters or bytes, are not remembered.
+LONGEST = 256
 _ODD_SPACE = re.compile(r"[^\S\n ]|\s\s|[\x1c-\x1f]")
 
-#: Letters that lower-casing and normalisation map one to one, then marks: two pre-tokens in either vocabulary.
+#: Letters that lower-casing and normalisation map one to one, then marks: two pre-tokens.
 _SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017E]*)([!-&(-/:-@\[-`{-~]*)")
 
 
@@ -46,11 +51,12 @@ class _Memo(dict):
         super().__init__()
         self.make, self.older = make, {}
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: str | bytes) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
             ids = self.make(chunk)
-        self[chunk] = ids
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
         return ids
 
     def age(self) -> None:
@@ -62,13 +68,48 @@ class _Memo(dict):
 #: Bytes that any white space but a space or a line feed begins with, and control characters that count as such here.
 _RARE = bytes([9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3])
 
-
-def _odd(text: str) -> bool:
-    """Whether white space stands where chunks may not be encoded apart; a quick look at the bytes settles most texts."""
-    b = text.encode()
-    if len(b.translate(None, _RARE)) == len(b) and not (b"  " in b or b" \n" in b or b"\n " in b or b"\n\n" in b):
-        return False
-    return _ODD_SPACE.search(text) is not None
+#: A piece of letters only, a space before them or not.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
+
+#: What a byte after another one means: a piece begins, perhaps begins, or white space may stand there that forbids cuts.
+_CUT, _PERHAPS, _LOOK = 1, 2, 4
+
+
+def _pair_table() -> np.ndarray:
+    """The meaning of each byte at the place 256 * the byte before it + the byte."""
+    at = np.arange(256)
+    letter = ((at | 32) >= ord("a")) & ((at | 32) <= ord("z"))
+    mark, space = (at > 32) & (at < 127) & ~letter, (at == 32) | (at == 10)
+    cut = (letter[:, None] & mark) | space | (at == 10)[:, None]
+    look = (space[:, None] & space) | np.isin(at, list(_RARE))
+    return (cut * _CUT + (((at >= 0x80) & (at < 0xC0))[:, None] & mark) * _PERHAPS + look * _LOOK).astype(np.uint8).ravel()
+
+
+_PAIRS = _pair_table()
+
+
+def _pieces(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where pieces begin that can be encoded apart, in the bytes of texts that end at ``ends[1:]``."""
+    pair = np.zeros(len(data), np.uint16)
+    pair[1:] = data[:-1]
+    first = ends[:-1][ends[:-1] < ends[1:]]
+    pair[first] = 0
+    pair <<= 8
+    pair |= data
+    kind = _PAIRS[pair]
+    kind[first] |= _CUT
+    at = np.flatnonzero(kind)
+    kind = kind[at]
+    cut = (kind & _CUT) > 0
+    # A mark after a byte of no ASCII letter: letters of U+00C0 to U+017F are known by their two bytes.
+    perhaps = np.flatnonzero(kind & _PERHAPS)
+    lead, last = data[at[perhaps] - 2], data[at[perhaps] - 1]
+    cut[perhaps] |= ((lead == 0xC3) & (last != 0x97) & (last != 0xB7)) | (lead == 0xC4) | (lead == 0xC5)
+    for i in np.unique(np.searchsorted(ends, at[(kind & _LOOK) > 0], "right") - 1).tolist():
+        a, b = ends[i], ends[i + 1]
+        if _ODD_SPACE.search(data[a:b].tobytes().decode()):
+            cut[np.searchsorted(at, a, "right") : np.searchsorted(at, b)] = False
+    return at[cut]
 
 
 class Encoder:
@@ -86,7 +127,7 @@ class Encoder:
         self.newline = self._ids("\n")
         self.byte_level = len(self.newline) > 0  # this vocabulary keeps white space
         self.marks: dict[str, bytes] = {}
-        self.memo = _Memo(self._byte_chunk if self.byte_level else self._word_chunk)
+        self.memo = _Memo(self._byte_piece if self.byte_level else self._word_chunk)
 
     def _ids(self, text: str) -> bytes:
         return array("H", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -96,12 +137,31 @@ class Encoder:
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """The ids as little-endian unsigned 16-bit integers."""
+        if self.byte_level:
+            return self.encode_array(pa.array(texts, pa.large_string()))
         self.memo.age()
         get = self.memo.__getitem__
-        if self.byte_level:  # a chunk is "\nword", or "word" for " word"
-            return [self._ids(t) if _odd(t) else b"".join(map(get, ("\n" + t).replace("\n", " \n")[1:].split(" ")))[2:] for t in texts]
         return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
+    def encode_array(self, texts: pa.LargeStringArray) -> list[bytes]:
+        """``encode_bytes`` of an Arrow array without nulls."""
+        if not self.byte_level:
+            return self.encode_bytes(texts.to_pylist())
+        self.memo.age()
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        if ends[0] == ends[-1]:
+            return [b""] * len(texts)
+        data, ends = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+        begin = _pieces(data, ends)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        _, at, known = pieces.dictionary.buffers()
+        at, known = np.frombuffer(at, np.int64)[: len(pieces.dictionary) + 1].tolist(), known.to_pybytes()
+        ids = pa.array(map(self.memo.__getitem__, [known[a:b] for a, b in zip(at, at[1:])]), pa.large_binary())
+        _, at, ids = ids.take(pieces.indices).buffers()
+        at, ids = np.frombuffer(at, np.int64)[np.searchsorted(begin, ends)].tolist(), ids.to_pybytes()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
+
     def _letters(self, letters: str) -> bytes:
         """One pre-token of letters, encoded by the library's model."""
         return self._shown(letters.encode().decode("latin-1").translate(_SHOWN))
@@ -117,18 +177,12 @@ class Encoder:
                 self.marks[marks] = ids
         return ids
 
-    def _byte_chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
-            return self._shown(_SHOWN[32] + chunk)
-        if chunk[:1] == "\n":
-            word, m = chunk[1:], _SIMPLE.fullmatch(chunk, 1)
-            if not word:
-                return self.newline
-            return self.newline + (self._letters(m[1]) + (self._marks(m[2]) if m[2] else b"") if m and m[1] else self._ids(word))
-        m = _SIMPLE.fullmatch(chunk)
-        if not m or not m[1]:
-            return self._ids(" " + chunk)
-        return self.memo[m[1]] + self._marks(m[2]) if m[2] else self._letters(" " + chunk)
+    def _byte_piece(self, piece: bytes) -> bytes:
+        if piece[:1] == b" " and piece[1:].isalpha():
+            return self._shown(_SHOWN[32] + piece[1:].decode())
+        if _WORD.fullmatch(piece):
+            return self._letters(piece.decode())
+        return self._ids(piece.decode())
 
     def _word_chunk(self, chunk: str) -> bytes:
         if chunk.isascii() and chunk.isalpha() and chunk.islower():

@@ -7,6 +7,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -106,6 +107,20 @@ def test_encoding_is_the_librarys(path, docs):
         assert ids.tolist() == e.tok.encode(t, add_special_tokens=False).ids
 
 
+def test_block_of_texts_asks_for_each_piece_once():
+    """Words are remembered without the marks after them; texts of one block don't meet, and long pieces aren't remembered."""
+    e = Encoder(BYTE)
+    stems, marks = [f"{a}{b}ion" for a in "bcdfg" for b in ("e", "é", "ſ", "ti")], [",", ".", "###", "%%%", "'s", "!?", "42"]
+    plain = [" ".join(w + m for w in stems) for m in marks]
+    texts = ["no ", *plain, "", "a", ".b", "  x y", "z", "\n", "é", "'s", "×, ÷. ª; ŉ! ƀ? e\u0301.", "a\u00a0b c.", "日本. 語", "", "q" * 300 + ", " + "é" * 300, "end"]
+    got = e.encode_array(pa.array(texts, pa.large_string()).slice(1, len(texts) - 2))
+    assert [np.frombuffer(x, np.uint16).tolist() for x in got] == [e.tok.encode(t, add_special_tokens=False).ids for t in texts[1:-1]]
+    assert max(map(len, e.memo)) <= 256 and e.encode_bytes([]) == [] and e.encode_bytes(["", ""]) == [b"", b""]
+    e = Encoder(BYTE)
+    e.encode_bytes(plain)
+    assert len(e.memo) <= len(stems) + 1 + len(marks)
+
+
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_queries_and_their_sql(spark, name):
     import glob
