@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised kernel handles at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Share of the driver's largest heap above which a cut of the plan has its garbage collected.
+HEAP_SHARE = 0.6
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -45,9 +47,22 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    ease(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ease(spark: SparkSession) -> bool:
+    """Have the driver's JVM collect its garbage and shrink its heap, if that has grown over ``HEAP_SHARE`` of its limit.
+
+    Plans, task results and events of many short jobs are garbage soon, but the heap grows for them and shrinks only when it is collected as a whole.
+    """
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    grown = runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory()
+    if grown:
+        runtime.gc()
+    return grown
+
+
 def _sweep() -> None:
     for spark, path in _written:
         try:

@@ -270,6 +270,11 @@ def _across(open_: DataFrame, classes: DataFrame, texts: DataFrame, size: int, p
     return materialize(hopeful.join(texts, "id").select("key", "cell", "i", "j", "id", "n", "c", "block", "sketch", "text").groupBy("key", "cell", "i", "j").applyInArrow(link, "a bigint, b bigint"), "across")
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components when ``links`` (a, b) are added to those that ``label`` names; its stars stand for all links before, and take few rounds."""
+    return components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
 def _found(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): h (the hash of its text), n_shingles, node (null for an empty set) and component_id.
 
@@ -293,12 +298,12 @@ def _found(docs: DataFrame, size: int, percent: int) -> DataFrame:
         new = _verified(_new_hubs(open_, seed, percent).join(tested, ["a", "b"], "left_anti"), classes, texts, size, percent)
         if not new.limit(1).count():
             break
-        links = links.unionByName(new)
-        label = components(links)
+        label = _joined(label, new)
     else:
         open_ = _open(shared, label)
-    links = links.unionByName(_across(open_, classes, texts, size, percent))
-    label = components(links)
+    across = _across(open_, classes, texts, size, percent)
+    if across.limit(1).count():
+        label = _joined(label, across)
     named = classes.select("k1", "k2", "id", "least").join(label.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "least", F.coalesce("component", "id").alias("c"))
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
     nodes = named.join(least, "c").select("k1", "k2", F.col("c").alias("node"), "component_id")

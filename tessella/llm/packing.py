@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, keyed, materialize, scratch, table, text_of
+from .common import blocks, ease, keyed, materialize, scratch, table, text_of
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -78,6 +78,7 @@ class Sorted:
         rows = rows.sortWithinPartitions("size", *order).withColumn("_id", F.monotonically_increasing_id())
         self.path = scratch(rows.sparkSession, name)
         rows.write.parquet(self.path)
+        ease(rows.sparkSession)
         self.rows = rows.sparkSession.read.schema(rows.schema).parquet(self.path)
         sums = self.rows.where("size > 0").groupBy(F.shiftright("_id", 33).alias("part"), "size").agg(F.count(F.lit(1)), F.min("_id")).collect()
         self.counts: dict[int, int] = {}

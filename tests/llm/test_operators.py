@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 import brute
 
-from tessella.llm import decontaminate, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, secrets, token_counts, token_files, toxicity
+from tessella.llm import common, decontaminate, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, secrets, token_counts, token_files, toxicity
 from tessella.llm.components import components
 from tessella.llm.registry import ORACLES, QUERIES
 from tessella.llm.textvec import grams, hash_word, words
@@ -446,6 +446,33 @@ def test_components(spark):
     assert got == label
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    made = []
+    where = sys.modules[components.__module__]
+    monkeypatch.setattr(where, "materialize", lambda df, name: made.append(name) or common.materialize(df, name))
+    stars = [(1, 5), (7, 1), (2, 9), (None, 3), (4, 4)]
+    assert sorted(components(spark.createDataFrame(stars, "a bigint, b bigint")).collect()) == [(1, 1), (2, 2), (5, 1), (7, 1), (9, 2)]
+    assert made == ["edges"]
+    label = spark.createDataFrame([(1, 1), (5, 1), (7, 1), (2, 2), (9, 2)], "node bigint, component bigint")
+    more = spark.createDataFrame([(7, 9), (20, 11)], "a bigint, b bigint")
+    assert sorted(near_dedup._joined(label, more).collect()) == [(1, 1), (2, 1), (5, 1), (7, 1), (9, 1), (11, 11), (20, 11)]
+
+
+def test_cuts_collect_garbage_of_a_grown_heap(spark, monkeypatch):
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    gateway = spark.sparkContext._gateway
+    for _ in range(40):  # 1.2 GB that nothing holds
+        gateway.detach(gateway.new_array(gateway.jvm.int, 7_500_000))
+    before = runtime.totalMemory()
+    monkeypatch.setattr(common, "HEAP_SHARE", 1.0)
+    assert not common.ease(spark)
+    monkeypatch.setattr(common, "HEAP_SHARE", 0.9 * before / runtime.maxMemory())
+    asked = []
+    monkeypatch.setattr(common, "ease", lambda s, f=common.ease: asked.append(f(s)))
+    assert common.materialize(spark.range(3)).count() == 3
+    assert asked == [True] and runtime.totalMemory() < before
+
+
 def test_token_files(spark, docs, tmp_path):
     out = str(tmp_path / "set")
     token_files.write_ids(docs, out, BYTE)
