@@ -459,18 +459,17 @@ def test_stars_take_no_round(spark, monkeypatch):
 
 
 def test_cuts_collect_garbage_of_a_grown_heap(spark, monkeypatch):
-    runtime = spark._jvm.java.lang.Runtime.getRuntime()
-    gateway = spark.sparkContext._gateway
-    for _ in range(40):  # 1.2 GB that nothing holds
-        gateway.detach(gateway.new_array(gateway.jvm.int, 7_500_000))
-    before = runtime.totalMemory()
-    monkeypatch.setattr(common, "HEAP_SHARE", 1.0)
-    assert not common.ease(spark)
-    monkeypatch.setattr(common, "HEAP_SHARE", 0.9 * before / runtime.maxMemory())
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(x.getCollectionCount() for x in beans if not re.search("Young|Scavenge|Copy", x.getName()))
+
     asked = []
     monkeypatch.setattr(common, "ease", lambda s, f=common.ease: asked.append(f(s)))
-    assert common.materialize(spark.range(3)).count() == 3
-    assert asked == [True] and runtime.totalMemory() < before
+    for share in (1.0, 0.0):
+        monkeypatch.setattr(common, "HEAP_SHARE", share)
+        before = collections()
+        assert common.materialize(spark.range(3)).count() == 3
+    assert asked == [False, True] and collections() > before
 
 
 def test_token_files(spark, docs, tmp_path):
